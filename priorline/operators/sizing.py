@@ -1,0 +1,25 @@
+"""Size checks that guard every broadcast the library asks for."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's own size estimate of a plan, read without running it; None when not available.
+
+    Estimates of derived tables only err upwards (an aggregate is costed like its input), so a
+    table below a limit here is safe to broadcast. Read a saved dimension back for a tight value.
+    """
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    return int(plan.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
+    """True only when the size is known and within ``limit``."""
+    size = estimated_bytes(df)
+    return size is not None and size <= limit
