@@ -16,7 +16,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
     plan = getattr(df, "_jdf", None)
     if plan is None:
         return None
-    return int(plan.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
