@@ -51,8 +51,12 @@ def fill_missing_entities(ids: DataFrame, found: DataFrame) -> DataFrame:
 def enhance_with_handedness(
     batters: DataFrame, pitchers: DataFrame, lineup: DataFrame, handedness: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Both projection tables with the hands of the players in the line-ups."""
-    hands = fill_missing_entities(player_ids(lineup), handedness)
+    """Both projection tables with the known hands of the players in the line-ups.
+
+    Unknown hands are not filled in beforehand: a hand already in the projections comes before
+    the default.
+    """
+    hands = semi_filter(handedness, player_ids(lineup), "player_id")
     return attach_handedness(batters, hands), attach_handedness(pitchers, hands)
 
 
