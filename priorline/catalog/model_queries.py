@@ -49,7 +49,7 @@ Z_NAMES = [f"{c}_z" for c in [*MEASURES, *BINARY]]
 
 
 def beta(k: int, j: int) -> float:
-    """Coefficients measured from nothing: a small fixed pattern, zero for the last class."""
+    """A small coefficient pattern, zero for the last class."""
     return 0.0 if k == N_CLASSES - 1 else ((3 * k + 5 * j) % 7 - 3) / 4.0
 
 

@@ -13,9 +13,13 @@ def read_game_log_csv(spark: SparkSession, path: str, schema: str = schemas.GAME
     return spark.read.schema(schema).option("header", False).csv(path)
 
 
-def read_json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Files that hold a JSON array of flat records."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json_rows(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """Files that hold a JSON array of flat records, one row per record.
+
+    A multi-line document is read by one task per file. Land large sources with one array or
+    record per line and pass ``multi_line=False``, so that files split.
+    """
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def extract_embedded_json(pages: DataFrame, element: str, html: str = "html") -> DataFrame:

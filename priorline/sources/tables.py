@@ -48,15 +48,20 @@ def empty_with_schema(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def save_results(results: DataFrame, path: str) -> None:
-    """Results partitioned by date and game; only the partitions present in ``results`` change.
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace only the partitions present in ``df``.
 
-    Rows of one game are brought to one task per date and game, so a game is one file and a day
-    of many games does not open every partition in every task.
+    Rows are rebalanced by the partition columns: small partitions share a task and become one
+    file each, and a partition that holds a large part of the data is split over several tasks.
     """
-    results.repartition("game_date", "game_pk").write.mode("overwrite").option(
+    df.hint("rebalance", *partition_by).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy("game_date", "game_pk").parquet(path)
+    ).partitionBy(*partition_by).parquet(path)
+
+
+def save_results(results: DataFrame, path: str) -> None:
+    """Results partitioned by date and game; only the partitions present in ``results`` change."""
+    replace_partitions(results, path, ["game_date", "game_pk"])
 
 
 def load_partition(spark: SparkSession, path: str, date: str) -> DataFrame | None:
@@ -79,9 +84,10 @@ def load_result_files(spark: SparkSession, folder: str) -> DataFrame | None:
 
 def save_snapshot(stats: DataFrame, path: str, date: str) -> None:
     """Dated feature snapshot; writing a date again replaces it."""
-    stats.withColumn("snapshot_date", F.lit(date).cast("date")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("snapshot_date").parquet(path)
+    dated = stats.withColumn("snapshot_date", F.lit(date).cast("date"))
+    dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "snapshot_date"
+    ).parquet(path)
 
 
 def load_snapshot(spark: SparkSession, path: str, date: str) -> DataFrame | None:
@@ -111,6 +117,4 @@ def require_rows(df: DataFrame, message: str) -> DataFrame:
 
 def split_by_season(events: DataFrame, seasons: DataFrame, path: str) -> None:
     """Write the events of every season to its own partition."""
-    season_of_date(events, seasons).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("season").parquet(path)
+    replace_partitions(season_of_date(events, seasons), path, ["season"])
