@@ -121,8 +121,8 @@ def _(t: Tables):
 def _(t: Tables):
     lines = line_rows(t)
     scaled = model.standardize(lines, model.scaler_fit(lines, MEASURES), MEASURES, BINARY)
-    coefficients = model.coefficient_row(parameter_rows(t, len(Z_NAMES)), len(Z_NAMES), N_CLASSES)
-    scored = model.softmax_scores(scaled, Z_NAMES, coefficients, N_CLASSES)
+    row = model.coefficient_row(parameter_rows(t, len(Z_NAMES)), len(Z_NAMES), N_CLASSES)
+    scored = model.softmax_scores(scaled, Z_NAMES, model.read_coefficients(row))
     return rounded(scored.select(*KEYS, *[f"p_{k}" for k in range(N_CLASSES)]))
 
 
@@ -136,7 +136,7 @@ def _(t: Tables):
     short = parameter_rows(t, len(Z_NAMES), N_CLASSES - 1)
     arrays = model.coefficient_row(short, len(Z_NAMES), N_CLASSES - 1)
     full = model.reference_category(arrays, N_CLASSES)
-    scored = model.softmax_scores(scaled, Z_NAMES, full, N_CLASSES)
+    scored = model.softmax_scores(scaled, Z_NAMES, model.read_coefficients(full))
     return rounded(scored.select(*KEYS, *[f"p_{k}" for k in range(N_CLASSES)]))
 
 

@@ -33,10 +33,17 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, so that results compare across engines and partitionings."""
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles rounded to six places, so that results compare across engines and partitionings.
+
+    ``floor`` instead of ``round``: the latter goes through decimals, several times slower.
+    """
+    million = F.lit(1e6)
     return df.select(
-        *[F.round(f"`{n}`", digits).alias(n) if kind == "double" else F.col(f"`{n}`") for n, kind in df.dtypes]
+        *[
+            (F.floor(F.col(f"`{n}`") * million + 0.5) / million).alias(n) if kind == "double" else F.col(f"`{n}`")
+            for n, kind in df.dtypes
+        ]
     )
 
 

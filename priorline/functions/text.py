@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,55 +32,66 @@ def _number(token: Column, keep: str) -> Column:
     return F.when(digits != "", digits)
 
 
-def weather_columns(text: Column) -> dict[str, Column]:
+def tokens(text: Column, unit: str) -> dict[str, Column]:
+    """Working columns shared by both parsers; each is read several times, so they are
+    materialised in a projection of their own instead of being repeated per use."""
+    return {
+        "_text": text,
+        "_unit": F.contains(F.lower(text), F.lit(unit)),
+        "_token": _token_before(text, unit),
+        "_tail": _after_comma(text),
+    }
+
+
+WORKING = ["_text", "_unit", "_token", "_tail", "_low", "_digits"]
+
+
+def weather_digits() -> dict[str, Column]:
+    return {"_low": F.lower(F.coalesce("_tail", F.lit(""))), "_digits": _number(F.col("_token"), r"\D")}
+
+
+def weather_columns() -> dict[str, Column]:
     """``68 degrees, Roof Closed.`` to temperature, conditions, dome and roof columns.
 
     Empty text, or a unit with no word before it, gives four nulls.
     """
-    has_unit = F.contains(F.lower(text), F.lit("degrees"))
-    token = _token_before(text, "degrees")
-    readable = (text != "") & ~(has_unit & (token == ""))
-    conditions = _after_comma(text)
-    lowered = F.lower(F.coalesce(conditions, F.lit("")))
-    closed = F.contains(lowered, F.lit("roof closed"))
-    opened = F.contains(lowered, F.lit("roof open"))
+    unit, low = F.col("_unit"), F.col("_low")
+    readable = (F.col("_text") != "") & ~(unit & (F.col("_token") == ""))
+    closed, opened = F.contains(low, F.lit("roof closed")), F.contains(low, F.lit("roof open"))
     return {
-        "temperature": F.when(readable & has_unit, _number(token, r"\D").try_cast("double")),
-        "weather_conditions": F.when(readable, conditions),
+        "temperature": F.when(readable & unit, F.col("_digits").try_cast("double")),
+        "weather_conditions": F.when(readable, F.col("_tail")),
         "is_domed_stadium": F.when(readable, closed | opened),
         "roof_closed": F.when(readable & closed, F.lit(True)).when(readable & opened, F.lit(False)),
     }
 
 
-def wind_columns(text: Column) -> dict[str, Column]:
+def wind_digits() -> dict[str, Column]:
+    return {"_low": F.lower("_tail"), "_digits": _number(F.col("_token"), r"[^0-9.]")}
+
+
+def wind_columns() -> dict[str, Column]:
     """``7 mph, In From CF.`` to speed, normalised direction and effect columns.
 
     Empty text, a unit with no word before it, or an unreadable number gives three nulls.
     """
-    has_unit = F.contains(F.lower(text), F.lit("mph"))
-    token = _token_before(text, "mph")
-    digits = _number(token, r"[^0-9.]")
-    speed = F.when(has_unit, digits.try_cast("double"))
-    unreadable = has_unit & ((token == "") | (digits.isNotNull() & digits.try_cast("double").isNull()))
-    readable = (text != "") & ~unreadable
-    direction = _after_comma(text)
-    affects = (
-        (F.coalesce(speed, F.lit(0.0)) > 0)
-        & (F.coalesce(direction, F.lit("")) != "")
-        & (F.lower(F.coalesce(direction, F.lit(""))) != "none")
-    )
+    unit, digits, direction = F.col("_unit"), F.col("_digits"), F.col("_tail")
+    number = digits.try_cast("double")
+    unreadable = unit & ((F.col("_token") == "") | (digits.isNotNull() & number.isNull()))
+    readable = (F.col("_text") != "") & ~unreadable
+    speed = F.when(unit, number)
+    named = F.coalesce(direction, F.lit(""))
+    affects = (F.coalesce(speed, F.lit(0.0)) > 0) & (named != "") & (F.coalesce("_low", F.lit("")) != "none")
     return {
         "wind_speed_mph": F.when(readable, speed),
-        "wind_direction": F.when(readable, _normal_direction(direction)),
+        "wind_direction": F.when(readable, _normal_direction(direction, F.col("_low"))),
         "wind_affects_play": F.when(readable, affects),
     }
 
 
-def _normal_direction(direction: Column) -> Column:
-    lowered = F.lower(direction)
-
+def _normal_direction(direction: Column, lowered: Column) -> Column:
     def mentions(*words: str) -> Column:
-        return lowered.rlike("|".join(words))
+        return reduce(or_, [F.contains(lowered, F.lit(w)) for w in words])
 
     def field(prefix: str) -> Column:
         return (

@@ -16,11 +16,13 @@ GAME_COLUMNS = [
 
 
 def parse_weather(df: DataFrame, column: str = "weather") -> DataFrame:
-    return df.withColumns(text.weather_columns(F.col(column)))
+    working = df.withColumns(text.tokens(F.col(column), "degrees")).withColumns(text.weather_digits())
+    return working.withColumns(text.weather_columns()).drop(*text.WORKING)
 
 
 def parse_wind(df: DataFrame, column: str = "wind") -> DataFrame:
-    return df.withColumns(text.wind_columns(F.col(column)))
+    working = df.withColumns(text.tokens(F.col(column), "mph")).withColumns(text.wind_digits())
+    return working.withColumns(text.wind_columns()).drop(*text.WORKING)
 
 
 def domed_fallback(df: DataFrame) -> DataFrame:

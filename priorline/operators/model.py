@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,19 +57,34 @@ def _scaler_row(scaler: DataFrame, columns: Sequence[str]) -> Column:
     return scaler.agg(F.struct(*parts).alias("scaler")).scalar()
 
 
+def read_scaler(scaler: DataFrame) -> dict[str, tuple[float, float]]:
+    """A stored scaler as ``{feature: (mean, scale)}``: one row per model column, like any model."""
+    return {row["feature"]: (row["mean"], row["scale"]) for row in scaler.collect()}
+
+
 def standardize(
     df: DataFrame,
-    scaler: DataFrame,
+    scaler: DataFrame | Mapping[str, tuple[float, float]],
     continuous: Sequence[str] = C.CONTINUOUS_COLUMNS,
     binary: Sequence[str] = C.BINARY_COLUMNS,
 ) -> DataFrame:
-    """Add ``<column>_z``: scaled continuous columns, and the 0/1 columns as doubles."""
-    scaled = {
-        f"{c}{SCALED}": (F.col(c) - F.col("_scaler")[f"m{i}"]) / F.col("_scaler")[f"s{i}"]
-        for i, c in enumerate(continuous)
-    }
-    scaled.update({f"{c}{SCALED}": F.col(c).cast("double") for c in binary})
-    return df.withColumn("_scaler", _scaler_row(scaler, continuous)).withColumns(scaled).drop("_scaler")
+    """Add ``<column>_z``: scaled continuous columns, and the 0/1 columns as doubles.
+
+    A scaler fitted in the same job stays lazy (a scalar subquery); one that was read enters as
+    constants. A column without an entry is an error in both cases.
+    """
+    lazy = isinstance(scaler, DataFrame)
+    source = df.withColumn("_scaler", _scaler_row(scaler, continuous)) if lazy else df
+
+    def scaled(i: int, column: str) -> Column:
+        if lazy:
+            return (F.col(column) - F.col("_scaler")[f"m{i}"]) / F.col("_scaler")[f"s{i}"]
+        mean, scale = scaler[column]
+        return (F.col(column) - F.lit(mean)) / F.lit(scale)
+
+    columns = {f"{c}{SCALED}": scaled(i, c) for i, c in enumerate(continuous)}
+    columns.update({f"{c}{SCALED}": F.col(c).cast("double") for c in binary})
+    return source.withColumns(columns).drop("_scaler")
 
 
 def scaled_names(
@@ -118,39 +134,50 @@ def coefficient_row(
     )
 
 
+@dataclass(frozen=True)
+class Coefficients:
+    """Model parameters by class: ``betas[class][predictor]``."""
+
+    intercepts: list[float]
+    betas: list[list[float]]
+
+
+def read_coefficients(row: DataFrame) -> Coefficients:
+    """The one row of ``coefficient_row``: ``n_classes * (n_predictors + 1)`` numbers."""
+    found = row.select("intercepts", "betas").first()
+    return Coefficients(list(found["intercepts"]), [list(b) for b in found["betas"]])
+
+
 def softmax_scores(
-    df: DataFrame,
-    features: Sequence[str],
-    coefficients: DataFrame,
-    n_classes: int = len(C.OUTCOME_LABELS),
-    prefix: str = "p_",
+    df: DataFrame, features: Sequence[str], coefficients: Coefficients, prefix: str = "p_"
 ) -> DataFrame:
     """Add ``p_0 .. p_{n-1}``: softmax of ``intercept + x . beta``, shifted by the row maximum.
 
-    ``coefficients(intercepts, betas)`` is the one row of ``coefficient_row``. The products are
-    written out as column arithmetic, which stays inside whole-stage codegen, and the parameters
-    enter as a scalar subquery rather than a join.
+    The products are written out as column arithmetic with constant coefficients. Features are
+    made non-nullable inside (a null becomes NaN and the result null again), which leaves the
+    generated method small enough for the JVM to compile; with a null check per product it is
+    not, and scoring runs an order of magnitude slower.
     """
-    row = coefficients.select(F.struct("intercepts", "betas").alias("c")).scalar()
+    if any(len(beta) != len(features) for beta in coefficients.betas):
+        raise ValueError(f"the model does not have {len(features)} predictors")
+    classes = range(len(coefficients.intercepts))
+    inputs = {f"_x_{j}": F.coalesce(F.col(f), F.lit(float("nan"))) for j, f in enumerate(features)}
+    known = reduce(and_, [F.col(f).isNotNull() for f in features])
 
     def linear(k: int) -> Column:
-        terms = [F.col(f) * F.col("_c")["betas"][k][j] for j, f in enumerate(features)]
-        return reduce(add, terms, F.col("_c")["intercepts"][k])
-
-    scores = [f"_mu_{k}" for k in range(n_classes)]
-    weights = [f"_e_{k}" for k in range(n_classes)]
-    scored = df.withColumn("_c", row).withColumns({s: linear(k) for k, s in enumerate(scores)})
-    top = F.greatest(*scores)
-    weighed = scored.withColumn("_top", top).withColumns(
-        {w: F.exp(F.col(s) - F.col("_top")) for w, s in zip(weights, scores)}
+        terms = [F.col(x) * F.lit(b) for x, b in zip(inputs, coefficients.betas[k])]
+        return reduce(add, terms, F.lit(coefficients.intercepts[k]))
+
+    scores, weights = [f"_mu_{k}" for k in classes], [f"_e_{k}" for k in classes]
+    scored = df.withColumns({**inputs, "_known": known}).withColumns(
+        {name: linear(k) for k, name in enumerate(scores)}
     )
-    total = reduce(add, [F.col(w) for w in weights])
-    probabilities = {f"{prefix}{k}": F.col(w) / F.col("_total") for k, w in enumerate(weights)}
-    return (
-        weighed.withColumn("_total", total)
-        .withColumns(probabilities)
-        .drop("_c", "_top", "_total", *scores, *weights)
+    weighed = scored.withColumn("_top", F.greatest(*scores)).withColumns(
+        {w: F.exp(F.col(s) - F.col("_top")) for w, s in zip(weights, scores)}
     )
+    summed = weighed.withColumn("_total", reduce(add, [F.col(w) for w in weights]))
+    shares = {f"{prefix}{k}": F.when(F.col("_known"), F.col(weights[k]) / F.col("_total")) for k in classes}
+    return summed.withColumns(shares).drop(*inputs, "_known", "_top", "_total", *scores, *weights)
 
 
 def reference_category(coefficients: DataFrame, n_classes: int) -> DataFrame:
@@ -204,17 +231,17 @@ def contiguous_classes(df: DataFrame, column: str) -> DataFrame:
     return classes.select("n_classes", F.coalesce(ok, F.lit(False)).alias("contiguous"))
 
 
-def describe(df: DataFrame, columns: Sequence[str], buckets: int = 200) -> DataFrame:
+def describe(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
     """Count, mean, sample deviation, minimum, exact quartiles and maximum, one row per column."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "feature", "value"
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    long = values.unpivot([], list(columns), "feature", "value").filter(F.col("value").isNotNull())
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    moments = values.agg(
+        *[F.struct(*[f(c).alias(name) for name, f in measures.items()]).alias(c) for c in columns]
+    ).select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), *[F.col(f"`{c}`.{m}") for m in measures]) for c in columns]))
     )
-    known = long.filter(F.col("value").isNotNull())
-    moments = known.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    quartiles = exact_quantiles(known, [0.25, 0.5, 0.75], buckets).withColumnsRenamed(
+    quartiles = exact_quantiles(long, [0.25, 0.5, 0.75], buckets).withColumnsRenamed(
         {"q0": "q25", "q1": "q50", "q2": "q75"}
     )
     return moments.join(quartiles, "feature", "inner").select(
@@ -222,7 +249,7 @@ def describe(df: DataFrame, columns: Sequence[str], buckets: int = 200) -> DataF
     )
 
 
-def exact_quantiles(long: DataFrame, shares: Sequence[float], buckets: int = 200) -> DataFrame:
+def exact_quantiles(long: DataFrame, shares: Sequence[float], buckets: int = 256) -> DataFrame:
     """Exact, linearly interpolated quantiles ``q0, q1, ...`` of ``(feature, value)`` rows.
 
     ``percentile`` would gather all distinct values of a column in one task. Here equal values
@@ -231,11 +258,16 @@ def exact_quantiles(long: DataFrame, shares: Sequence[float], buckets: int = 200
     The edges only balance the work; the ranks are exact wherever the edges fall.
     """
     steps = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = long.groupBy("feature").agg(
-        F.percentile_approx("value", steps, 10_000).alias("_edges"), F.count("value").alias("_rows")
-    )
     counted = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
-    below = F.size(F.filter("_edges", lambda edge: edge < F.col("value")))
+    edges = counted.groupBy("feature").agg(
+        F.percentile_approx("value", steps, 10_000).alias("_edges"), F.sum("_n").alias("_rows")
+    )
+    coarse = F.filter("_edges", lambda _, i: i % 16 == 15)
+    edges = edges.withColumn("_coarse", coarse)
+    # find the bucket in two steps: every 16th edge, then the edges up to the next of those
+    passed = F.size(F.filter("_coarse", lambda edge: edge < F.col("value")))
+    rest = F.filter(F.slice("_edges", passed * 16 + 1, 16), lambda edge: edge < F.col("value"))
+    below = passed * 16 + F.size(rest)
     placed = counted.join(F.broadcast(edges), "feature", "inner").select(
         "feature", "value", "_n", "_rows", below.alias("_bucket")
     )

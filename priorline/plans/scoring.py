@@ -54,13 +54,13 @@ def score_outcomes(
     """Outcome probabilities of every matchup, each scored once.
 
     ``matchups`` comes from ``serving.matchups``; the platoon flag is derived from its
-    ``stand`` and ``p_throws``.
+    ``stand`` and ``p_throws``. The fitted scaler and parameters are read first, as a model is.
     """
     names = model.scaled_names(continuous, binary)
-    coefficients = model.coefficient_row(parameters, len(names), n_classes)
+    coefficients = model.read_coefficients(model.coefficient_row(parameters, len(names), n_classes))
     flagged = events.platoon_flag(matchups)
-    scaled = model.standardize(flagged, scaler, continuous, binary)
-    return model.softmax_scores(scaled, names, coefficients, n_classes).drop(*names)
+    scaled = model.standardize(flagged, model.read_scaler(scaler), continuous, binary)
+    return model.softmax_scores(scaled, names, coefficients).drop(*names)
 
 
 def score_games(
