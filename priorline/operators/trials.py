@@ -24,16 +24,20 @@ def outcome_histogram(
 ) -> DataFrame:
     """Trials per game, inning, team, statistic and bin. An absent statistic counts as 0.
 
-    Rows are first counted per combination of binned statistics, which is a handful of
-    combinations per group however many trials there are; only those are unpivoted.
+    All bins of all statistics are counted in one pass: a group is one row of counters before and
+    after the only shuffle, however many trials it has. The counters are turned into rows last.
+    Statistics are counts and never negative.
     """
     kept = trials.filter(F.col("team").isin(C.REPORT_TEAMS))
     if innings is not None:
         kept = kept.filter(F.col("inning").isin(list(innings)))
     binned = kept.select(*SIDE, *[odds.histogram_bin(F.col(s), max_bin).alias(s) for s in stats])
-    combined = binned.groupBy(*SIDE, *stats).agg(F.count(F.lit(1)).alias("_n"))
-    long = combined.unpivot([*SIDE, "_n"], list(stats), "stat", "bin")
-    return long.groupBy(*SIDE, "stat", "bin").agg(F.sum("_n").alias("n"))
+    cells = [(s, b) for s in stats for b in range(max_bin + 1)]
+    wide = binned.groupBy(*SIDE).agg(*[F.count_if(F.col(s) == b).alias(f"_{s}_{b}") for s, b in cells])
+    rows = [
+        F.struct(F.lit(s).alias("stat"), F.lit(b).alias("bin"), F.col(f"_{s}_{b}").alias("n")) for s, b in cells
+    ]
+    return wide.select(*SIDE, F.inline(F.array(*rows))).filter(F.col("n") > 0)
 
 
 def _report_counts(
