@@ -10,6 +10,7 @@ from priorline.catalog.bindings import LAST_SQL, PA_SQL, Tables, with_views
 from priorline.catalog.registry import query, r6, rounded
 from priorline.operators import events, features, rates, sets, totals
 from priorline.plans import features as plans
+from priorline.session import stored
 
 COUNTS = {"pa": "is_pa", "ab": "is_ab", "h": "is_hit", "k": "is_k", "bb": "is_bb", "hbp": "is_hbp",
           "1b": "is_1b", "2b": "is_2b", "3b": "is_3b", "hr": "is_hr"}
@@ -501,12 +502,14 @@ _training_measures = [*RATES["batter"], *RATES["pitcher"], "team_defense_oaa_inp
 
 
 def training(t: Tables):
-    """The training table over the given data; infinite ratings are treated as unknown."""
-    defense = _finite(plans.defense_features(t.view("oaa"), t.pa, B.FIRST_YEAR, B.LAST_YEAR))
+    """The training table over the given data; infinite ratings are treated as unknown.
+
+    Plate appearances and defence are stored tables in the pipeline, so they are stored here.
+    """
+    pa = stored(t.pa, "plate_appearances")
+    defense = stored(_finite(plans.defense_features(t.view("oaa"), pa, B.FIRST_YEAR, B.LAST_YEAR)), "defense")
     factors = totals.wide_to_long_factors(t.view("park_wide"))
-    return plans.training_table(
-        plans.pa_features(t.pa), defense, factors, t.view("teams"), B.TRAINING_YEARS
-    )
+    return plans.training_table(plans.pa_features(pa), defense, factors, t.view("teams"), B.TRAINING_YEARS)
 
 
 @query(

@@ -17,6 +17,7 @@ from priorline.catalog.serving_queries import (
 )
 from priorline.operators import model, serving
 from priorline.plans import features, scoring
+from priorline.session import stored
 
 MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 N_CLASSES = 8
@@ -121,8 +122,8 @@ def _(t: Tables):
 def _(t: Tables):
     lines = line_rows(t)
     scaled = model.standardize(lines, model.scaler_fit(lines, MEASURES), MEASURES, BINARY)
-    row = model.coefficient_row(parameter_rows(t, len(Z_NAMES)), len(Z_NAMES), N_CLASSES)
-    scored = model.softmax_scores(scaled, Z_NAMES, model.read_coefficients(row))
+    coefficients = model.load_coefficients(parameter_rows(t, len(Z_NAMES)), len(Z_NAMES), N_CLASSES)
+    scored = model.softmax_scores(scaled, Z_NAMES, coefficients)
     return rounded(scored.select(*KEYS, *[f"p_{k}" for k in range(N_CLASSES)]))
 
 
@@ -165,7 +166,7 @@ TRAINING_SCALER_SQL = "SELECT " + ", ".join(
         FROM complete, fitted"""),
 )
 def _(t: Tables):
-    return rounded(features.design_matrix(training(t)))
+    return rounded(features.design_matrix(stored(training(t), "training")))
 
 
 @query(
@@ -239,7 +240,7 @@ SELECT matchups.*, {', '.join(f'({c} - "m_{c}") / "s_{c}" AS {c}_z' for c in CON
       body=softmax_sql("scaled_matchups", [f"{c}_z" for c in ORDERED], ", ".join(MATCHUP_KEYS[:7]))),
 )
 def _(t: Tables):
-    rows = serving.matchups(**serving_tables(t))
+    rows = stored(serving.matchups(**serving_tables(t)), "matchups")
     scaler = model.scaler_fit(rows, CONTINUOUS)
     scored = scoring.score_outcomes(rows, scaler, parameter_rows(t, len(ORDERED)))
     return rounded(scored.select(*MATCHUP_KEYS[:7], *[f"p_{k}" for k in range(N_CLASSES)]))

@@ -9,6 +9,8 @@ from priorline.catalog.bindings import Tables, with_views
 from priorline.catalog.registry import query, r6, rounded
 from priorline.functions import calendar
 from priorline.operators import rates, serving
+from priorline.operators.totals import wide_to_long_factors
+from priorline.session import stored
 
 BAT = [f"batter_{r}_daily_input" for r in ("1b_pct", "2b_pct", "3b_pct", "hr_pct", "k_pct", "bb_pct", "hbp_pct")]
 PIT = [f"pitcher_{r}_a_daily_input" for r in ("1b_pct", "2b_pct", "3b_pct", "hr_pct", "k_pct", "bb_pct", "hbp_pct")]
@@ -220,13 +222,14 @@ SERVING_CTES = {
 
 
 def serving_tables(t: Tables) -> dict:
-    """Line-up, starter, defence and context tables over the given data."""
-    from priorline.operators.totals import wide_to_long_factors
+    """Line-up, starter, defence and context tables over the given data.
 
-    lineup, games = t.view("lineup"), t.view("games")
+    Line-ups and projections are stored tables in the pipeline, so they are stored here.
+    """
+    games, lineup = t.view("games"), stored(t.view("lineup"), "lineup")
     batters, pitchers = serving.enhance_with_handedness(
-        rates.projection_pipeline(t.view("batter_projection"), "batter"),
-        rates.projection_pipeline(t.view("pitcher_projection"), "pitcher"),
+        stored(rates.projection_pipeline(t.view("batter_projection"), "batter"), "batters"),
+        stored(rates.projection_pipeline(t.view("pitcher_projection"), "pitcher"), "pitchers"),
         lineup,
         t.view("handedness"),
     )
@@ -271,7 +274,7 @@ def _(t: Tables):
       body="SELECT game_pk, venue_id, year, park_factor_input FROM context"),
 )
 def _(t: Tables):
-    found = serving.factor_lookup(t.view("games"), serving_tables(t)["factors"])
+    found = serving.factor_lookup(t.view("games"), wide_to_long_factors(t.view("park_wide")))
     return found.select("game_pk", "venue_id", "year", "park_factor_input")
 
 

@@ -148,6 +148,27 @@ def read_coefficients(row: DataFrame) -> Coefficients:
     return Coefficients(list(found["intercepts"]), [list(b) for b in found["betas"]])
 
 
+def load_coefficients(parameters: DataFrame, n_predictors: int, n_classes: int) -> Coefficients:
+    """Coefficients from a stored ``(param, predictor, category, value)`` table.
+
+    At most ``n_classes * (n_predictors + 1)`` rows are read, and one more to notice a larger
+    table. A table one class short gets the zero reference class; other shapes are an error.
+    """
+    expected = n_classes * (n_predictors + 1)
+    found = parameters.select("param", "predictor", "category", "value").limit(expected + 1).collect()
+    cells = {(r["param"], r["category"], r["predictor"]): r["value"] for r in found}
+    for classes in (n_classes, n_classes - 1):
+        wanted = {("intercepts", k, None) for k in range(classes)} | {
+            ("betas", k, j) for k in range(classes) for j in range(n_predictors)
+        }
+        if set(cells) == wanted and len(found) == len(wanted):
+            missing = n_classes - classes
+            intercepts = [cells["intercepts", k, None] for k in range(classes)] + [0.0] * missing
+            betas = [[cells["betas", k, j] for j in range(n_predictors)] for k in range(classes)]
+            return Coefficients(intercepts, betas + [[0.0] * n_predictors] * missing)
+    raise ValueError(f"the parameters are not those of {n_predictors} predictors and {n_classes} classes")
+
+
 def softmax_scores(
     df: DataFrame, features: Sequence[str], coefficients: Coefficients, prefix: str = "p_"
 ) -> DataFrame:

@@ -57,7 +57,7 @@ def score_outcomes(
     ``stand`` and ``p_throws``. The fitted scaler and parameters are read first, as a model is.
     """
     names = model.scaled_names(continuous, binary)
-    coefficients = model.read_coefficients(model.coefficient_row(parameters, len(names), n_classes))
+    coefficients = model.load_coefficients(parameters, len(names), n_classes)
     flagged = events.platoon_flag(matchups)
     scaled = model.standardize(flagged, model.read_scaler(scaler), continuous, binary)
     return model.softmax_scores(scaled, names, coefficients).drop(*names)

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +43,14 @@ def _local_scratch() -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch root."""
     return f"{scratch_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the scratch folder and read it back.
+
+    Cuts the plan between two stages of a pipeline: the result is computed once, survives lost
+    executors, and has exact size statistics for the plans that read it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

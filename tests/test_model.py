@@ -79,6 +79,16 @@ def test_reference_class(spark):
         model.coefficient_row(parameters(spark, 8, 2), 3, 8).collect()
 
 
+def test_loaded_coefficients(spark):
+    full = parameters(spark, 8, 2)
+    assert model.load_coefficients(full, 2, 8) == model.read_coefficients(model.coefficient_row(full, 2, 8))
+    short = model.load_coefficients(parameters(spark, 7, 2), 2, 8)
+    assert short.intercepts[-1] == 0.0 and short.betas[-1] == [0.0, 0.0]
+    for predictors, classes in ((3, 8), (2, 7), (2, 10)):
+        with pytest.raises(ValueError, match="not those of"):
+            model.load_coefficients(full, predictors, classes)
+
+
 def test_posterior_mean(spark):
     draws = spark.createDataFrame(
         [("betas", c, d, 0, 1, float(c + d)) for c in range(2) for d in range(10)],
