@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from priorline import constants as C
+from priorline.session import configure
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -171,7 +172,7 @@ class Tables:
     """The given tables and the views over them, as Spark DataFrames."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark = configure(spark)
         self.folder = folder.rstrip("/")
 
     def table(self, name: str) -> DataFrame:

@@ -10,7 +10,6 @@ from priorline.catalog.registry import query, r6, rounded
 from priorline.functions import calendar
 from priorline.operators import rates, serving
 from priorline.operators.totals import wide_to_long_factors
-from priorline.session import stored
 
 BAT = [f"batter_{r}_daily_input" for r in ("1b_pct", "2b_pct", "3b_pct", "hr_pct", "k_pct", "bb_pct", "hbp_pct")]
 PIT = [f"pitcher_{r}_a_daily_input" for r in ("1b_pct", "2b_pct", "3b_pct", "hr_pct", "k_pct", "bb_pct", "hbp_pct")]
@@ -222,17 +221,12 @@ SERVING_CTES = {
 
 
 def serving_tables(t: Tables) -> dict:
-    """Line-up, starter, defence and context tables over the given data.
-
-    Line-ups and projections are stored tables in the pipeline, so they are stored here.
-    """
-    games, lineup = t.view("games"), stored(t.view("lineup"), "lineup")
-    batters, pitchers = serving.enhance_with_handedness(
-        stored(rates.projection_pipeline(t.view("batter_projection"), "batter"), "batters"),
-        stored(rates.projection_pipeline(t.view("pitcher_projection"), "pitcher"), "pitchers"),
-        lineup,
-        t.view("handedness"),
-    )
+    """Line-up, starter, defence and context tables over the given data."""
+    games, lineup, hands = t.view("games"), t.view("lineup"), t.view("handedness")
+    batters = rates.projection_pipeline(t.view("batter_projection"), "batter")
+    pitchers = rates.projection_pipeline(t.view("pitcher_projection"), "pitcher")
+    batters = serving.attach_handedness(batters, hands)
+    pitchers = serving.attach_handedness(pitchers, hands)
     return {
         "games": games,
         "batters": serving.assemble_lineup(lineup, batters),

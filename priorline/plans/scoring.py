@@ -74,8 +74,12 @@ def score_games(
     scaler: DataFrame,
     parameters: DataFrame,
 ) -> DataFrame:
-    """All line-up slots of all given games against their opposing starter, in one job."""
-    batters, pitchers = serving.enhance_with_handedness(batters, pitchers, lineup, handedness)
+    """All line-up slots of all given games against their opposing starter, in one job.
+
+    Hands are attached to all projections; only players of the line-ups come through the joins.
+    """
+    batters = serving.attach_handedness(batters, handedness)
+    pitchers = serving.attach_handedness(pitchers, handedness)
     rows = serving.matchups(
         games,
         serving.assemble_lineup(lineup, batters),
