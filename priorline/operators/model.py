@@ -57,9 +57,18 @@ def _scaler_row(scaler: DataFrame, columns: Sequence[str]) -> Column:
     return scaler.agg(F.struct(*parts).alias("scaler")).scalar()
 
 
-def read_scaler(scaler: DataFrame) -> dict[str, tuple[float, float]]:
-    """A stored scaler as ``{feature: (mean, scale)}``: one row per model column, like any model."""
-    return {row["feature"]: (row["mean"], row["scale"]) for row in scaler.collect()}
+def read_scaler(
+    scaler: DataFrame, columns: Sequence[str] = C.CONTINUOUS_COLUMNS
+) -> dict[str, tuple[float, float]]:
+    """A stored scaler as ``{feature: (mean, scale)}``; it must hold every column once.
+
+    At most one row more than there are columns is read.
+    """
+    wanted = scaler.filter(F.col("feature").isin(list(columns))).limit(len(columns) + 1).collect()
+    found = {row["feature"]: (row["mean"], row["scale"]) for row in wanted}
+    if len(wanted) != len(columns) or set(found) != set(columns):
+        raise ValueError(f"the scaler does not hold each of {list(columns)} once")
+    return found
 
 
 def standardize(

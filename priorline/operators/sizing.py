@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Spark's own default for automatic broadcasts
+BROADCAST_LIMIT_BYTES = 10 * 1024 * 1024
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Catalyst's own size estimate of a plan, read without running it; None when not available.
 
-    Estimates of derived tables only err upwards (an aggregate is costed like its input), so a
-    table below a limit here is safe to broadcast. Read a saved dimension back for a tight value.
+    Aggregates are costed like their input and joins like their product, so a derived table is
+    usually estimated too large and then shuffled. Read a saved dimension back for a tight value.
     """
     plan = getattr(df, "_jdf", None)
     if plan is None:

@@ -59,7 +59,7 @@ def score_outcomes(
     names = model.scaled_names(continuous, binary)
     coefficients = model.load_coefficients(parameters, len(names), n_classes)
     flagged = events.platoon_flag(matchups)
-    scaled = model.standardize(flagged, model.read_scaler(scaler), continuous, binary)
+    scaled = model.standardize(flagged, model.read_scaler(scaler, continuous), continuous, binary)
     return model.softmax_scores(scaled, names, coefficients).drop(*names)
 
 

@@ -17,7 +17,7 @@ def frame(spark):
 
 
 def test_scaler_uses_the_population_and_guards_zero(spark):
-    got = model.read_scaler(model.scaler_fit(frame(spark), ["a", "flat"]))
+    got = model.read_scaler(model.scaler_fit(frame(spark), ["a", "flat"]), ["a", "flat"])
     assert math.isclose(got["a"][1], statistics.pstdev(range(40)))
     assert got["flat"] == (5.0, 1.0)
 
@@ -26,7 +26,7 @@ def test_lazy_and_read_scaler_agree(spark):
     df = frame(spark)
     fitted = model.scaler_fit(df, ["a", "b"])
     lazy = model.standardize(df, fitted, ["a", "b"], ["flag"])
-    read = model.standardize(df, model.read_scaler(fitted), ["a", "b"], ["flag"])
+    read = model.standardize(df, model.read_scaler(fitted, ["a", "b"]), ["a", "b"], ["flag"])
     assert rows(lazy) == rows(read)
     assert model.scaler_check(lazy, ["a_z", "b_z"]).count() == 0
     assert rows(model.scaler_check(df, ["a", "b"]), "feature") == [("a",), ("b",)]
@@ -37,8 +37,10 @@ def test_missing_scaler_entry_is_an_error(spark):
     fitted = model.scaler_fit(df, ["a"])
     with pytest.raises(Exception, match="no entry for b"):  # a failing subquery surfaces as a JVM error
         model.standardize(df, fitted, ["a", "b"], []).collect()
-    with pytest.raises(KeyError):
-        model.standardize(df, model.read_scaler(fitted), ["a", "b"], [])
+    with pytest.raises(ValueError, match="does not hold"):
+        model.read_scaler(fitted, ["a", "b"])
+    with pytest.raises(ValueError, match="does not hold"):
+        model.read_scaler(fitted.union(fitted), ["a"])
 
 
 def parameters(spark, classes, predictors):
