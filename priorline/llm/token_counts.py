@@ -95,7 +95,7 @@ class PrefixCounter:
             if known:  # else no longer prefix is known either
                 known = ends.get(piece[:i])
             if not known:
-                for j in range(i - longest if i > longest else 0, i):
+                for j in range(i - 1, max(i - longest, 0) - 1, -1):
                     token = tokens.get(piece[j:i])
                     if token is not None:
                         if j:
