@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import mixing, packing, pii, token_counts, url_rules
+from priorline.llm import mixing, packing, pii, quality, token_counts, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op5_personal_data, op6_packing, op9_url_rules, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op2_quality, op5_personal_data, op6_packing, op9_url_rules, op10_token_counts)}
 SQL: dict[str, str] = {"op9_url_rules": url_rules.SQL}

@@ -105,8 +105,10 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def pairs(words: np.ndarray) -> np.ndarray:
-    """Hashes of neighbouring words."""
-    return mix(words[:-1] * _PLACES[0] + words[1:] * _PLACES[1])
+    """Hashes of neighbouring words; a word and its repeat have one hash in common with all such pairs."""
+    found = mix(words[:-1] * _PLACES[0] + words[1:] * _PLACES[1])
+    found[words[:-1] == words[1:]] = 1
+    return found
 
 
 def signed(x: np.ndarray) -> np.ndarray:
