@@ -90,7 +90,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFra
         return pd.DataFrame({"cell": cells, "weight": weights[cells]})
 
     # One task reads the sample: its rows are bounded, whatever the size of the tables.
-    return sample.groupBy(F.lit(0)).applyInPandas(train, "cell long, weight double")
+    return sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(train, "cell long, weight double")
 
 
 def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
