@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import mixing, packing, pii, quality, token_counts, url_rules
+from priorline.llm import jaccard_join, mixing, packing, pii, quality, token_counts, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), url_rules.given_rules(spark))
 
@@ -39,5 +43,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op2_quality, op5_personal_data, op6_packing, op9_url_rules, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op2_quality, op5_personal_data, op6_packing, op8_jaccard_join, op9_url_rules, op10_token_counts)}
 SQL: dict[str, str] = {"op9_url_rules": url_rules.SQL}
