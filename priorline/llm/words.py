@@ -91,6 +91,14 @@ def word_runs(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, int,
         yield first, last, words, rows
 
 
+def windows(words: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of five words, in order."""
+    total = words[: len(words) - WIDTH + 1] * _PLACES[0]
+    for k in range(1, WIDTH):
+        total = total + words[k : len(words) - WIDTH + 1 + k] * _PLACES[k]
+    return mix(total)
+
+
 def shingles(words: np.ndarray) -> np.ndarray:
     """Distinct five-word shingles of one text, sorted; of fewer words the whole sequence, of none nothing."""
     n = len(words)
@@ -98,10 +106,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
         return words
     if n < WIDTH:
         return mix(np.sum(words * _PLACES[:n], keepdims=True, dtype=np.uint64) + np.uint64(n))
-    total = words[: n - WIDTH + 1] * _PLACES[0]
-    for k in range(1, WIDTH):
-        total = total + words[k : n - WIDTH + 1 + k] * _PLACES[k]
-    return np.unique(mix(total))
+    return np.unique(windows(words))
 
 
 def pairs(words: np.ndarray) -> np.ndarray:
