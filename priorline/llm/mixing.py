@@ -48,11 +48,14 @@ def running_total(df: DataFrame, keys: list[str], chunk: str, order: list[str],
 @dataclass(frozen=True)
 class Mix:
     """``sources``: per source its rank, size and target. ``units``: groups of equal rows with what the mix takes of
-    them. ``slots``: the schedule, in order: position, source rank, epoch, block and the tokens taken from it."""
+    them. ``placed``: the units' places in their sources' streams. ``slots``: the schedule, in order: position, source
+    rank, epoch, block and the tokens taken from it."""
 
     sources: DataFrame
     units: DataFrame
+    placed: DataFrame
     slots: DataFrame
+    block: int
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], max_repeats: int) -> DataFrame:
@@ -167,7 +170,7 @@ def mix(
     part = F.coalesce((F.col("_uses") - 1) * (high - low) + last, F.lit(0))
     met = spread.join(used.withColumnRenamed("block", "_block"), ["rank", "_block"], "left")
     met = met.groupBy("id", "source", "rank", "size", "copies", "source_size", "target").agg(F.sum(part).alias("taken"))
-    return Mix(sources, met, slots)
+    return Mix(sources, met, placed, slots, block)
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -180,3 +183,31 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "source_size", "target",
         (F.floor(F.col("taken") / F.col("copies")) + rest).cast("long").alias("taken"),
     )
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The documents in the order of the mix, with all their columns: each as often as the mix takes its first word.
+
+    Documents without words are left out, as the mix takes nothing of them. Of rows with equal id, source and size each
+    is taken as the copy it happens to be. Rows are range-partitioned and sorted by their place in the mix.
+    """
+    made = mix(docs, word_count(F.col("text")))
+    rows = made.placed.filter("tokens > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    rows = rows.withColumn("_at", F.col("start") + (F.col("_copy") - 1) * F.col("size"))
+    rows = rows.withColumn("block", F.floor(F.col("_at") / made.block)).drop("_block")
+    met = rows.join(made.slots, ["rank", "block"]).filter(F.col("taken") > F.col("_at") - F.col("block") * made.block)
+    taken = met.select(
+        F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
+        F.col("_copy").alias("__copy"), "copies", F.col("position").alias("__position"),
+    )
+    taken = stored(taken, "mix-taken")
+    key = ["__id", "__source", "__size"]
+    keyed = docs.withColumns({"_id_": F.col("doc_id"), "_source_": F.col("source"), "_size_": word_count(F.col("text"))})
+    same = F.col("_id_").eqNullSafe(F.col("__id")) & F.col("_source_").eqNullSafe(F.col("__source")) & (F.col("_size_") == F.col("__size"))
+    single = keyed.join(taken.filter("copies = 1"), same)
+    repeated = stored(taken.filter("copies > 1"), "mix-repeated")
+    turn = F.row_number().over(Window.partitionBy("_id_", "_source_", "_size_").orderBy("_size_"))
+    numbered = keyed.join(repeated.select(*key).distinct(), same, "left_semi").withColumn("_turn_", turn)
+    again = numbered.join(repeated, same & (F.col("_turn_") == F.col("__copy"))).drop("_turn_")
+    mixed = single.union(again).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__position"))
+    return mixed.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
