@@ -11,7 +11,6 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from priorline import constants as C
 from priorline import schemas
 from priorline.plans import jobs
 from priorline.session import configure
@@ -26,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     day.add_argument("--batch", required=True, help="name of this load; the same name replays it")
     for name in ("pitches", "oaa", "park-pages", "batter-projections", "pitcher-projections"):
         day.add_argument(f"--{name}")
-    day.add_argument("--last-year", type=int, default=C.LAST_YEAR)
+    day.add_argument("--last-year", type=int)
     report = commands.add_parser("report-day", help="probabilities and odds of a day's games")
     for name in ("root", "date", "trials", "games"):
         report.add_argument(f"--{name}", required=True)

@@ -85,7 +85,7 @@ SELECT l_partkey AS xMLBAMID, concat('Player ', CAST(l_partkey AS VARCHAR(20)))
   CASE WHEN l_partkey % 50 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(count(*) AS DOUBLE) END AS PA,
   CAST(count(*) - 2 AS DOUBLE) AS AB, CAST(8 AS DOUBLE) AS H, {_bat},
   CASE WHEN l_partkey % 37 = 0 THEN NULL ELSE CAST(1 AS DOUBLE) END AS IBB
-FROM {{lineitem}} GROUP BY l_partkey HAVING count(*) >= 25
+FROM {{lineitem}} GROUP BY l_partkey
 """.replace('"', "{q}")
 _pit = _counted(HR=3, SO=4, BB=6, HBP=8)
 PITCHER_PROJECTION = f"""
@@ -95,7 +95,7 @@ SELECT l_partkey AS xMLBAMID, concat('Player ', CAST(l_partkey AS VARCHAR(20)))
   CAST(count(*) / 3 AS DOUBLE) AS IP, CAST(9 AS DOUBLE) AS H, {_pit},
   CAST(3 AS DOUBLE) AS ERA, CAST(1 AS DOUBLE) AS WHIP,
   CASE l_partkey % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'R' ELSE NULL END AS Throws
-FROM {{lineitem}} GROUP BY l_partkey HAVING count(*) >= 25
+FROM {{lineitem}} GROUP BY l_partkey
 """.replace('"', "{q}")
 HANDEDNESS = """
 SELECT c_custkey AS player_id,
@@ -108,7 +108,7 @@ FROM {customer}
 OAA = """
 SELECT l_suppkey AS player_id, CAST(year(l_shipdate) AS INT) AS year,
   CAST(sum(l_quantity) AS BIGINT) % 21 - 10 AS outs_above_average
-FROM {lineitem} WHERE l_discount >= 0.1 GROUP BY 1, 2
+FROM {lineitem} GROUP BY 1, 2
 """
 RATINGS = """
 SELECT l_partkey AS player_id, CAST(year(l_shipdate) AS INT) AS year,
@@ -126,8 +126,9 @@ SELECT CAST(s_suppkey AS INT) AS venue_id, s_name AS venue_name, s_nationkey AS
 FROM {{supplier}}
 """
 TEAMS = """
-SELECT s_name AS team_name, concat('T', CAST(s_suppkey AS VARCHAR(20))) AS team_abbr
-FROM {supplier} WHERE s_acctbal > 1000
+SELECT CASE WHEN s_acctbal > 1000 THEN s_name ELSE concat('Old ', s_name) END AS team_name,
+  concat('T', CAST(s_suppkey AS VARCHAR(20))) AS team_abbr
+FROM {supplier}
 """
 WEATHER = """
 SELECT event_id AS game_id,

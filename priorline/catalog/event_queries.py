@@ -338,19 +338,21 @@ FROM (SELECT *, CAST(coalesce(sum(outs_above_average) OVER before, 0) AS BIGINT)
     CAST(coalesce(sum(total_innings_played) OVER before, 0) AS BIGINT) AS cumulative_innings_prior
   FROM history WINDOW before AS (PARTITION BY player_id ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 """
-# infinities are shown as null so that they can be compared
-FINITE_SQL = f"""SELECT player_id, year, outs_above_average, total_innings_played, cumulative_oaa_prior,
-  cumulative_innings_prior, {r6("CASE WHEN isinf(outs_above_average_per_inning) THEN NULL ELSE outs_above_average_per_inning END",
-  "outs_above_average_per_inning")} FROM defense"""
+# infinities are shown as text so that they can be compared
+_RATIO = "outs_above_average_per_inning"
+SHOWN_SQL = f"""SELECT player_id, year, outs_above_average, total_innings_played, cumulative_oaa_prior,
+  cumulative_innings_prior, {r6(f"CASE WHEN isinf({_RATIO}) THEN NULL ELSE {_RATIO} END", _RATIO)},
+  CASE WHEN isinf({_RATIO}) THEN CASE WHEN {_RATIO} > 0 THEN 'inf' ELSE '-inf' END END AS infinite FROM defense"""
 DEFENSE_CTES = {
     "pa": PA_SQL, "innings": INNINGS_SQL, "grid": GRID_SQL, "grid_fact": GRID_FACT_SQL,
     "history": HISTORY_SQL, "defense": DEFENSE_SQL,
 }
 
 
-def _finite(df):
-    ratio = F.col("outs_above_average_per_inning")
-    return df.withColumn("outs_above_average_per_inning", F.when(F.abs(ratio) < float("inf"), ratio))
+def _shown(df):
+    ratio = F.col(_RATIO)
+    text = F.when(ratio == float("inf"), F.lit("inf")).when(ratio == -float("inf"), F.lit("-inf"))
+    return df.withColumn("infinite", text).withColumn(_RATIO, F.when(F.abs(ratio) < float("inf"), ratio))
 
 
 def _grid(t: Tables):
@@ -375,17 +377,17 @@ def _(t: Tables):
     return totals.grid_left_innings(totals.grid_left_fact(_grid(t), t.view("oaa")), totals.distinct_innings(t.pa))
 
 
-@query("player_prior_defense", with_views("pitch", "oaa", **DEFENSE_CTES, body=FINITE_SQL))
+@query("player_prior_defense", with_views("pitch", "oaa", **DEFENSE_CTES, body=SHOWN_SQL))
 def _(t: Tables):
     history = totals.grid_left_innings(
         totals.grid_left_fact(_grid(t), t.view("oaa")), totals.distinct_innings(t.pa)
     )
-    return rounded(_finite(totals.player_prior_defense(history)))
+    return rounded(_shown(totals.player_prior_defense(history)))
 
 
-@query("defense_features", with_views("pitch", "oaa", **DEFENSE_CTES, body=FINITE_SQL))
+@query("defense_features", with_views("pitch", "oaa", **DEFENSE_CTES, body=SHOWN_SQL))
 def _(t: Tables):
-    return rounded(_finite(plans.defense_features(t.view("oaa"), t.pa, B.FIRST_YEAR, B.LAST_YEAR)))
+    return rounded(_shown(plans.defense_features(t.view("oaa"), t.pa, B.FIRST_YEAR, B.LAST_YEAR)))
 
 
 @query(
@@ -465,21 +467,10 @@ ROLE_SUM_SQL = with_views(
 )
 
 
-def _role_sum(t: Tables, broadcast):
-    summed = features.role_playing_sum(
-        t.pa, t.view("ratings"), events.PA_KEYS, year="game_year", broadcast=broadcast
-    )
-    return rounded(summed.select("game_pk", "at_bat_number", "game_year", "team_defense_oaa_input"))
-
-
 @query("role_playing_sum", ROLE_SUM_SQL)
 def _(t: Tables):
-    return _role_sum(t, None)
-
-
-@query("role_playing_sum_shuffled", ROLE_SUM_SQL)
-def _(t: Tables):
-    return _role_sum(t, False)
+    summed = features.role_playing_sum(t.pa, t.view("ratings"), year="game_year")
+    return rounded(summed.select("game_pk", "at_bat_number", "game_year", "team_defense_oaa_input"))
 
 
 TRAINING_KEYS = ["game_pk", "batter", "pitcher", "home_team", "is_batter_home", "game_date", "year",
@@ -502,12 +493,12 @@ _training_measures = [*RATES["batter"], *RATES["pitcher"], "team_defense_oaa_inp
 
 
 def training(t: Tables):
-    """The training table over the given data; infinite ratings are treated as unknown.
+    """The training table over the given data.
 
     Plate appearances and defence are stored tables in the pipeline, so they are stored here.
     """
     pa = stored(t.pa, "plate_appearances")
-    defense = stored(_finite(plans.defense_features(t.view("oaa"), pa, B.FIRST_YEAR, B.LAST_YEAR)), "defense")
+    defense = stored(plans.defense_features(t.view("oaa"), pa, B.FIRST_YEAR, B.LAST_YEAR), "defense")
     factors = totals.wide_to_long_factors(t.view("park_wide"))
     return plans.training_table(plans.pa_features(pa), defense, factors, t.view("teams"), B.TRAINING_YEARS)
 

@@ -207,17 +207,32 @@ def _(t: Tables):
     " UNION ALL ".join(
         f"""SELECT '{c}' AS feature, count({c}) AS count, {r6(f'avg({c})', 'mean')}, {r6(f'stddev_samp({c})', 'std')},
         min({c}) AS min, {r6(f'quantile_cont({c}, 0.25)', 'q25')}, {r6(f'quantile_cont({c}, 0.5)', 'q50')},
-        {r6(f'quantile_cont({c}, 0.75)', 'q75')}, max({c}) AS max FROM lineitem""" for c in MEASURES),
+        {r6(f'quantile_cont({c}, 0.75)', 'q75')}, max({c}) AS max FROM lineitem""" for c in MEASURES)
+    + " UNION ALL SELECT 'absent', 0, NULL, NULL, NULL, NULL, NULL, NULL, NULL",
 )
 def _(t: Tables):
-    return rounded(model.describe(t.table("lineitem"), MEASURES))
+    lines = t.table("lineitem").withColumn("absent", F.lit(None).cast("double"))
+    return rounded(model.describe(lines, [*MEASURES, "absent"]))
 
 
-@query("fit_outcome_model")
+@query(
+    "fit_outcome_model",
+    with_views(lines=LINES_SQL, body="""SELECT outcome AS category, count(*) AS n, true AS calibrated FROM lines
+      WHERE outcome IS NOT NULL AND """ + " AND ".join(f"{c} IS NOT NULL" for c in [*MEASURES, *BINARY]) + " GROUP BY 1"),
+)
 def _(t: Tables):
-    """Fitted parameters on the bound design matrix, pinned to the last class."""
-    matrix = features.design_matrix(line_rows(t), MEASURES, BINARY, "outcome")
-    return scoring.fit_outcome_model(matrix, Z_NAMES, N_CLASSES, max_iter=20)
+    """Rows per class, and whether the fitted model gives the class its share of them.
+
+    Intercepts carry no penalty, so at the optimum the mean predicted probability of a class is its share.
+    """
+    matrix = stored(features.design_matrix(line_rows(t), MEASURES, BINARY, "outcome"), "matrix")
+    fitted = scoring.fit_outcome_model(matrix, Z_NAMES, N_CLASSES)
+    scored = model.softmax_scores(matrix, Z_NAMES, model.load_coefficients(fitted, len(Z_NAMES), N_CLASSES))
+    means = scored.agg(*[F.avg(f"p_{k}").alias(f"p_{k}") for k in range(N_CLASSES)], F.count("*").alias("rows"))
+    expected = means.select("rows", F.posexplode(F.array(*[f"p_{k}" for k in range(N_CLASSES)])).alias("category", "mean"))
+    counted = matrix.groupBy(F.col("label").cast("int").alias("category")).agg(F.count("*").alias("n"))
+    off = F.abs(F.col("mean") - F.col("n") / F.col("rows"))
+    return counted.join(expected, "category").select("category", "n", (off < 1e-3).alias("calibrated"))
 
 
 CONTINUOUS, ORDERED = C.CONTINUOUS_COLUMNS, [*C.CONTINUOUS_COLUMNS, *C.BINARY_COLUMNS]

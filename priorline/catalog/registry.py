@@ -48,5 +48,5 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def r6(expression: str, name: str | None = None) -> str:
-    """SQL twin of ``rounded``; adding 0.0 turns a negative zero into zero."""
-    return f"round({expression}, 6) + 0.0 AS {name or expression}"
+    """SQL twin of ``rounded``, ties included; adding 0.0 turns a negative zero into zero."""
+    return f"floor(({expression}) * 1e6 + 0.5) / 1e6 + 0.0 AS {name or expression}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from priorline import constants as C
 from priorline.catalog.bindings import NUM_TRIALS, Tables, with_views
 from priorline.catalog.registry import query, r6, rounded
 from priorline.functions import odds
@@ -232,7 +233,7 @@ def _(t: Tables):
 @query(
     "heatmap_pivot",
     with_views("trials", **REPORT, body="SELECT game_pk, inning, team, stat, " + ", ".join(
-        r6(f"coalesce(max(probability) FILTER (WHERE number_bin = '{b}'), 0)", f'"{b}"') for b in views.BIN_LABELS)
+        r6(f"coalesce(max(probability) FILTER (WHERE number_bin = '{b}'), 0)", f'"{b}"') for b in C.BIN_LABELS)
       + " FROM report GROUP BY game_pk, inning, team, stat"),
 )
 def _(t: Tables):

@@ -138,15 +138,6 @@ def _(t: Tables):
     return files.extract_embedded_json(t.table("events").select(page.alias("html")), "event_id bigint, k int")
 
 
-@query(
-    "page_track_ids",
-    "SELECT page_id, CAST(regexp_extract(html, 'track\\((\\d+)\\);', 1) AS BIGINT) AS track FROM pages",
-)
-def _(t: Tables):
-    track = F.regexp_extract("html", r"track\((\d+)\);", 1).cast("bigint")
-    return t.table("pages").select("page_id", track.alias("track"))
-
-
 FEED_LINES = """
 SELECT game_pk, side, role, CAST(slot AS INT) AS slot, game_pk * 10 + slot + {offset} AS player_id FROM (
   SELECT o_orderkey AS game_pk, '{side}' AS side, '{role}' AS role, unnest(generate_series(0, {last})) AS slot FROM orders)
@@ -256,7 +247,7 @@ def _(t: Tables):
         CASE WHEN game_date BETWEEN DATE '1999-07-01' AND DATE '1999-12-31' THEN 'S' ELSE p_throws END AS p_throws FROM pa"""),
 )
 def _(t: Tables):
-    """History to 1999, then an overlapping correction, then the rest twice (a replay)."""
+    """History to 1999, then an overlapping correction, then the rest twice and an old load again (replays)."""
     pa = t.pa.select("game_pk", "at_bat_number", "events", "p_throws", "game_date")
     path = scratch_path(t.spark, "pa")
 
@@ -270,7 +261,7 @@ def _(t: Tables):
         "c": pa.filter(year >= 2000),
     }
     # one partition per month keeps the number of files low
-    for batch in ("a", "b", "c", "c"):
+    for batch in ("a", "b", "c", "c", "a"):
         rows = loads[batch].withColumn("month", F.trunc("game_date", "month"))
         upsert.upsert_partitions(t.spark, path, rows, batch, partition="month")
     return tables.load_table(t.spark, path).drop("month")

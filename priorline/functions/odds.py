@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CERTAIN_ODDS = -99999
@@ -29,7 +29,12 @@ def american_odds(probability: Column) -> Column:
 
 
 def histogram_bin(value: Column, max_bin: int) -> Column:
-    """Bin of a count: null counts as 0, everything from ``max_bin`` up shares one bin."""
+    """Bin of a count: null counts as 0, everything from ``max_bin`` up shares one bin; a negative count is an error."""
+    refused = F.raise_error(F.concat(F.lit("a count is negative: "), value.cast("string"))).cast("int")
+    return F.when(value < 0, refused).otherwise(_bin(value, max_bin))
+
+
+def _bin(value: Column, max_bin: int) -> Column:
     return F.least(F.coalesce(value, F.lit(0)), F.lit(max_bin)).cast("int")
 
 
@@ -52,3 +57,8 @@ def inning_number(key: Column) -> Column:
     """``inning_3`` or ``3`` to 3; null when the key holds no number there."""
     part = F.when(F.contains(key, F.lit("_")), F.try_element_at(F.split(key, "_"), F.lit(2))).otherwise(key)
     return part.try_cast("int")
+
+
+def inning_rejects(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose inning key is present but holds no number: what ``inning_number`` turns to null."""
+    return rows.filter(F.col(key).isNotNull() & inning_number(F.col(key)).isNull())

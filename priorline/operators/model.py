@@ -262,7 +262,10 @@ def contiguous_classes(df: DataFrame, column: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum, one row per column."""
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum, one row per column.
+
+    A column without values has count 0 and nulls.
+    """
     values = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     long = values.unpivot([], list(columns), "feature", "value").filter(F.col("value").isNotNull())
     measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
@@ -274,7 +277,7 @@ def describe(df: DataFrame, columns: Sequence[str], buckets: int = 256) -> DataF
     quartiles = exact_quantiles(long, [0.25, 0.5, 0.75], buckets).withColumnsRenamed(
         {"q0": "q25", "q1": "q50", "q2": "q75"}
     )
-    return moments.join(quartiles, "feature", "inner").select(
+    return moments.join(quartiles, "feature", "left").select(
         "feature", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 

@@ -68,27 +68,6 @@ def shrunken_rates_pitcher(totals: DataFrame, **options) -> DataFrame:
     return shrunken_rates(totals, "pitcher", **options)
 
 
-def shrunken_rates_from_league_row(totals: DataFrame, entity: str, league_row: DataFrame) -> DataFrame:
-    """``shrunken_rates`` with league rates measured by ``league_rates`` (a one-row table)."""
-    names = [f"lg_{rate}" for rate in C.SHRINKAGE_WEIGHTS[entity]]
-    row = league_row.select(F.struct(*names).alias("league")).scalar()
-    suffix = ENTITY_SUFFIX[entity]
-    with_row = totals.withColumn("_league", row)
-    rates = {}
-    for rate, weight in C.SHRINKAGE_WEIGHTS[entity].items():
-        count = F.col(f"cum_{'h' if rate == 'avg' else rate.removesuffix('_pct')}{suffix}_prev_day")
-        trials = F.col(f"cum_{'ab' if rate == 'avg' else 'pa'}{suffix}_prev_day")
-        pull = F.col("_league")[f"lg_{rate}"] * F.lit(float(weight))
-        rates[rate_column(entity, rate)] = (count + pull) / (trials + F.lit(float(weight)))
-    named = [rate_column(entity, r) for r in OUTCOME_RATES]
-    rest = 1 - numbers.sum_horizontal(*named)
-    return (
-        with_row.withColumns(rates)
-        .withColumn(rate_column(entity, "non_k_out_pct"), rest)
-        .drop("_league")
-    )
-
-
 def _remainder(entity: str) -> Column:
     """One minus the seven outcome rates; null if one of them is null."""
     order = ["1b_pct", "2b_pct", "3b_pct", "hr_pct", "k_pct", "bb_pct", "hbp_pct"]

@@ -104,10 +104,11 @@ def distinct_innings(pa: DataFrame) -> DataFrame:
 
 
 def entity_year_grid(
-    fact: DataFrame, first_year: int = C.FIRST_YEAR, last_year: int = C.LAST_YEAR
+    fact: DataFrame, first_year: int = C.FIRST_YEAR, last_year: int | None = None
 ) -> DataFrame:
-    """Every distinct player in every year of the range."""
-    years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
+    """Every distinct player in every year of the range; without a last year up to the latest one of the facts."""
+    last = fact.agg(F.max("year").cast("int").alias("last")).scalar() if last_year is None else F.lit(last_year)
+    years = F.explode(F.sequence(F.lit(first_year), F.greatest(last, F.lit(first_year))))
     return fact.select("player_id").distinct().withColumn("year", years)
 
 
@@ -147,9 +148,25 @@ def lag_fill(
     return df.withColumn(output or f"{value}_lag", F.coalesce(previous, F.lit(0)))
 
 
+FACTOR_FIELDS = ["venue_id", "venue_name", "main_team_id", "name_display_club"]
+
+
+def map_to_long_factors(rows: DataFrame, fields: str = "fields", prefix: str = "metric_value_") -> DataFrame:
+    """One row per venue and year from a map of text fields, whatever years it has; other fields are ignored."""
+    of = lambda name: F.try_element_at(fields, F.lit(name))
+    years = F.map_filter(fields, lambda key, _: F.startswith(key, F.lit(prefix)))
+    plain = rows.select(
+        of("venue_id").try_cast("int").alias("venue_id"), of("venue_name").alias("venue_name"),
+        of("main_team_id").try_cast("int").alias("main_team_id"), of("name_display_club").alias("name_display_club"),
+        F.explode(years).alias("key", "factor"),
+    )
+    year = F.substr("key", F.lit(len(prefix) + 1)).try_cast("int")
+    return plain.select(*FACTOR_FIELDS, year.alias("year"), F.col("factor").try_cast("double").alias("park_factor"))
+
+
 def wide_to_long_factors(wide: DataFrame, prefix: str = "metric_value_") -> DataFrame:
     """One row per venue and year from ``metric_value_YYYY`` columns; null factors keep a row."""
-    keys = ["venue_id", "venue_name", "main_team_id", "name_display_club"]
+    keys = FACTOR_FIELDS
     measures = sorted(c for c in wide.columns if c.startswith(prefix))
     same_type = wide.select(*keys, *[F.col(c).cast("double").alias(c) for c in measures])
     return same_type.unpivot(keys, measures, "year", "park_factor").select(

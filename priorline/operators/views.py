@@ -7,16 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorline.functions import numbers
+from priorline import constants as C
 
-DISPLAY_NAMES = {
-    "probability_pct": "Probability (%)",
-    "decimal_odds": "Decimal Odds",
-    "american_odds": "American Odds",
-    "number_bin": "Count",
-    "team_name": "Team Name",
-}
-BIN_LABELS = ["0", "1", "2", "3", "4", "5+"]
+from priorline.functions import numbers
 
 
 def filter_results(
@@ -54,7 +47,7 @@ def display_rounding(results: DataFrame) -> DataFrame:
 
 def drop_rename(results: DataFrame) -> DataFrame:
     """Display table: rounded columns under their display names, working columns dropped."""
-    return display_rounding(results).drop("probability").withColumnsRenamed(DISPLAY_NAMES)
+    return display_rounding(results).drop("probability").withColumnsRenamed(C.DISPLAY_NAMES)
 
 
 def odds_view(results: DataFrame) -> DataFrame:
@@ -76,7 +69,7 @@ def summary_by_team_stat(results: DataFrame) -> DataFrame:
 def heatmap_pivot(
     results: DataFrame,
     index: Sequence[str] = ("game_pk", "inning", "team", "stat"),
-    labels: Sequence[str] = tuple(BIN_LABELS),
+    labels: Sequence[str] = tuple(C.BIN_LABELS),
 ) -> DataFrame:
     """One column per bin label, 0 where a bin is absent.
 

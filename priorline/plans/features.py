@@ -31,11 +31,6 @@ def entity_features(
     )
 
 
-def batter_features(pa: DataFrame) -> DataFrame:
-    """Plate appearances with their batter's prior rates."""
-    return features.attach_batter_stats(pa, entity_features(pa, "batter"))
-
-
 def pa_features(
     pa: DataFrame, league: Mapping[str, float] | DataFrame = C.LEAGUE_RATES
 ) -> DataFrame:
@@ -53,7 +48,7 @@ def defense_features(
     oaa: DataFrame,
     pa: DataFrame,
     first_year: int = C.FIRST_YEAR,
-    last_year: int = C.LAST_YEAR,
+    last_year: int | None = None,
 ) -> DataFrame:
     """Prior defence per player and year from yearly ratings and innings in the field."""
     history = (
@@ -71,14 +66,16 @@ def training_table(
     teams: DataFrame,
     years: Sequence[int] = C.TRAINING_YEARS,
     max_inning: int = C.TRAINING_MAX_INNING,
-    keys: Sequence[str] = tuple(events.PA_KEYS),
 ) -> DataFrame:
     """Early-inning rows of the training seasons with defence and park context, 29 columns.
 
-    The season filter comes before the joins, so it prunes the scan.
+    The season filter comes before the joins, so it prunes the scan. An infinite rating (one without innings) says
+    nothing about a fielder and adds 0.
     """
     rows = events.training_filter(pa_with_features, years, max_inning).withColumnRenamed("game_year", "year")
-    rows = features.role_playing_sum(rows, defense, keys)
+    value = "outs_above_average_per_inning"
+    known = defense.withColumn(value, F.when(F.abs(value) < float("inf"), F.col(value)))
+    rows = features.role_playing_sum(rows, known)
     rows = features.lagged_year_join(rows, features.dim_lookup_inner(factors, teams))
     return rows.select(*TRAINING_COLUMNS)
 

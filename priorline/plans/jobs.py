@@ -5,11 +5,12 @@ Every sink is its own lazy plan, so an empty source leaves the other tables unto
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from priorline import constants as C
-from priorline import schemas
 from priorline.operators import events, rates, totals, trials
 from priorline.plans import features, scoring
 from priorline.sources import files, tables, upsert
@@ -28,17 +29,18 @@ def update_features(spark: SparkSession, root: str) -> None:
 
 
 def update_park_factors(pages: DataFrame, root: str) -> None:
-    wide = files.extract_embedded_json(pages, schemas.PARK_ELEMENT)
+    factors = totals.map_to_long_factors(files.extract_embedded_maps(pages))
     tables.save_table(
-        tables.require_rows(totals.wide_to_long_factors(wide), "no park factors on the page"),
+        tables.require_rows(factors, "no park factors on the page"),
         f"{root}/park_factors",
     )
 
 
 def update_defense(
-    spark: SparkSession, oaa: DataFrame, root: str, last_year: int = C.LAST_YEAR
+    spark: SparkSession, oaa: DataFrame, root: str, last_year: int | None = None
 ) -> None:
-    """Defence per player and year; ``oaa`` holds every year, not only the current one."""
+    """Defence per player and year, up to the current year where none is given; ``oaa`` holds every year."""
+    last_year = last_year or datetime.date.today().year
     pa = tables.load_table(spark, f"{root}/plate_appearances")
     if pa is not None:
         tables.save_table(

@@ -32,6 +32,14 @@ def extract_embedded_json(pages: DataFrame, element: str, html: str = "html") ->
     return pages.filter(F.contains(F.col(html), F.lit("data = "))).select(F.inline(rows))
 
 
+def extract_embedded_maps(pages: DataFrame, html: str = "html") -> DataFrame:
+    """Elements of the JSON array in ``data = (...);`` of each page as maps of text, column ``fields``: no field is lost
+    because it was not declared."""
+    text = F.regexp_extract(html, r"data = (.*);", 1)
+    rows = F.from_json(text, "array<map<string, string>>")
+    return pages.filter(F.contains(F.col(html), F.lit("data = "))).select(F.explode(rows).alias("fields"))
+
+
 def _as_struct(element: str) -> str:
     fields = [f.strip().split(" ", 1) for f in element.split(",")]
     return ", ".join(f"{name}: {kind}" for name, kind in fields)

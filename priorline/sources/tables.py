@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -37,10 +38,32 @@ def load_many(spark: SparkSession, paths: Sequence[str], schema: str | None = No
 
 
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrite the table at a path that ``df`` does not read from."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(
-        *partition_by
-    ).parquet(path)
+    """Replace the table at a path, which ``df`` may read from.
+
+    The new table is written beside the old one and takes its place when it is complete, so a failing write leaves the
+    old table as it is.
+    """
+    beside = f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(beside)
+    swap(df.sparkSession, beside, path)
+
+
+def swap(spark: SparkSession, beside: str, path: str) -> None:
+    """Put a complete table in the place of another."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    target, old = to(path.rstrip("/")), to(f"{path.rstrip('/')}__old-{uuid.uuid4().hex}")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        files.rename(target, old)
+    if not files.rename(to(beside), target):
+        raise OSError(f"{beside} could not take the place of {path}")
+    files.delete(old, True)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Remove a table, if there is one."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def empty_with_schema(spark: SparkSession, schema: str) -> DataFrame:
@@ -96,20 +119,24 @@ def load_snapshot(spark: SparkSession, path: str, date: str) -> DataFrame | None
 
 
 def scan_by_date(events: DataFrame, start=None, end=None, date: str = "game_date") -> DataFrame:
-    """Events of a date range, or of the most recent date when no range is given.
+    """Events of a date range, or of the most recent date when no bound is given.
 
-    A literal range prunes partitions and row groups; the default bound is a scalar subquery
-    over the date column only.
+    One bound alone leaves the other side open. A literal range prunes partitions and row groups; the default bound is
+    a scalar subquery over the date column only.
     """
-    if start is not None and end is not None:
-        return events.filter(F.col(date).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    if start is not None:
+        events = events.filter(F.col(date) >= F.lit(start).cast("date"))
+    if end is not None:
+        events = events.filter(F.col(date) <= F.lit(end).cast("date"))
+    if start is not None or end is not None:
+        return events
     latest = events.agg(F.max(date).alias("latest")).scalar()
     return events.filter(F.col(date) == latest)
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:
     """The same rows; an empty table is an error when the plan runs."""
-    present = df.agg(F.count(F.lit(1)).alias("n")).select(
+    present = df.limit(1).agg(F.count(F.lit(1)).alias("n")).select(
         F.when(F.col("n") > 0, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
     )
     return df.filter(present.scalar())

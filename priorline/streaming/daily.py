@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from priorline.sources.upsert import upsert_partitions
+
 LATENESS = "2 days"
 
 
@@ -23,6 +25,28 @@ def stream_daily_totals(
     )
 
 
+def keep_in(counts: DataFrame, path: str, checkpoint: str, entity: str, kind: str = "event_type"):
+    """Keep a table of all days, open ones included, and stop once all available input is processed.
+
+    In update mode every changed day is written again, keyed by entity, kind and day into monthly partitions, so the
+    table equals the totals of everything that has arrived.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        monthly = batch.withColumn("month", F.trunc("day", "month"))
+        upsert_partitions(
+            batch.sparkSession, path, monthly, f"batch-{batch_id}", keys=[entity, kind, "day"], partition="month"
+        )
+
+    return (
+        counts.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def append_to(counts: DataFrame, path: str, checkpoint: str):
     """Append the closed days to a table and stop once all available input is processed."""
     return (

@@ -142,19 +142,29 @@ def test_defense_ratio_rules(spark):
     assert got[2, 2022]["cumulative_innings_prior"] == 0
 
 
-def test_role_sum_paths_agree(spark):
-    main = spark.createDataFrame(
-        [(1, 2023, 10, 10, None), (2, 2023, 11, 12, 10), (3, 2022, 10, 99, 98)],
-        "k int, year int, a bigint, b bigint, c bigint",
-    )
-    ratings = spark.createDataFrame(
-        [(10, 2023, 0.5), (11, 2023, -1.0), (10, 2022, None)],
-        "player_id bigint, year int, outs_above_average_per_inning double",
-    )
-    def total(b):
-        return rows(features.role_playing_sum(main, ratings, ["k"], ["a", "b", "c"], broadcast=b), "k", "team_defense_oaa_input")
+def role_sums(spark, data, ratings):
+    main = spark.createDataFrame(data, "k int, year int, a bigint, b bigint, c bigint")
+    known = spark.createDataFrame(ratings, "player_id bigint, year int, outs_above_average_per_inning double")
+    return rows(features.role_playing_sum(main, known, ["a", "b", "c"]), "k", "team_defense_oaa_input")
+
+
+RATINGS = [(10, 2023, 0.5), (11, 2023, -1.0), (10, 2022, None)]
+
+
+def test_role_sum(spark):
+    data = [(1, 2023, 10, 10, None), (2, 2023, 11, 12, 10), (3, 2022, 10, 99, 98)]
+    assert role_sums(spark, data, RATINGS) == [(1, 1.0), (2, -0.5), (3, 0.0)]
+
+
+def test_role_sum_needs_no_keys(spark):
+    """Null and repeated keys, equal rows and null years keep their rows and get their own sums."""
+    data = [(None, 2023, 10, 11, None), (5, 2023, 10, None, None), (5, 2023, 11, None, None), (6, None, 10, 10, 10), (6, None, 10, 10, 10)]
+    assert role_sums(spark, data, RATINGS) == sorted([(None, -0.5), (5, 0.5), (5, -1.0), (6, 0.0), (6, 0.0)], key=lambda r: [(v is None, str(v)) for v in r])
+
 
-    assert total(True) == total(False) == [(1, 1.0), (2, -0.5), (3, 0.0)]
+def test_role_sum_refuses_two_ratings(spark):
+    with pytest.raises(Exception, match="more than one rating"):
+        role_sums(spark, [(1, 2023, 10, None, None)], [*RATINGS, (10, 2023, 0.1)])
 
 
 def test_lagged_factor_is_last_years_and_null_is_neutral(spark):

@@ -139,3 +139,9 @@ def test_fit_beats_class_frequencies(spark):
     assert loss < 0.8 * -sum(p * math.log(p) for p in shares)
     with pytest.raises(ValueError, match="expected 4 classes"):
         scoring.fit_outcome_model(matrix, names, 4)
+
+
+def test_describe_keeps_a_column_without_values(spark):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    got = {r["feature"]: r for r in model.describe(df, ["a", "b"]).collect()}
+    assert (got["b"]["count"], got["b"]["mean"], got["b"]["q50"]) == (0, None, None) and got["a"]["q50"] == 2.0

@@ -3,6 +3,7 @@ from conftest import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from priorline import constants as C
 from priorline import schemas
 from priorline.functions import odds
 from priorline.operators import trials, views
@@ -88,7 +89,7 @@ def test_views(spark):
     assert views.odds_view(report).filter("decimal_odds <= 1 or decimal_odds >= 1000").count() == 0
     heat = views.heatmap_pivot(report)
     assert heat.count() == 3 * 3 * 3 * 4 and heat.columns[-1] == "5+"
-    assert set(views.DISPLAY_NAMES.values()) <= set(views.drop_rename(report).columns)
+    assert set(C.DISPLAY_NAMES.values()) <= set(views.drop_rename(report).columns)
     assert rows(views.team_name_options(report)) == [("Away Team",), ("Home Team",)]
     summary = views.summary_by_team_stat(report).filter("team = 'Total' and stat = 'BB'").first()
     assert summary["count"] == 54 and summary["max_probability"] == 2.0
@@ -103,3 +104,10 @@ def test_heatmap_rejects_duplicates(spark):
 def test_top_categories_ties_and_nulls(spark):
     df = spark.createDataFrame([(v,) for v in ["b", "a", "b", "a", "c", None, None, None]], "v string")
     assert [tuple(r) for r in views.top_categories(df, "v", 2).collect()] == [("a", 2), ("b", 2)]
+
+
+def test_negative_counts_and_unreadable_innings(spark):
+    with pytest.raises(Exception, match="negative"):
+        spark.createDataFrame([(-1,)], "v bigint").select(odds.histogram_bin(F.col("v"), 5)).collect()
+    keys = spark.createDataFrame([("inning_3",), ("4",), ("extra",), (None,)], "k string")
+    assert rows(odds.inning_rejects(keys, "k")) == [("extra",)]

@@ -9,6 +9,7 @@ from priorline import constants as C
 from priorline import schemas, session
 from priorline.operators import games
 from priorline.plans import jobs
+from priorline.operators import totals
 from priorline.sources import dims, files, nested, tables, upsert
 from test_events import pitches
 
@@ -165,6 +166,76 @@ def test_upsert_moves_replays_and_clears(spark, tmp_path):
     assert got == [(1, 1, "x", d1), (1, 2, "y", d1), (2, 1, "z", d3), (3, 1, "y", d3)]
 
 
+SCHEMA = "game_pk bigint, at_bat_number int, v string, game_date date"
+COLUMNS = ["game_pk", "at_bat_number", "v", "game_date"]
+DAY = datetime.date(2024, 5, 1)
+
+
+def loader(spark, path):
+    def load(batch, *data):
+        upsert.upsert_partitions(spark, path, spark.createDataFrame(list(data), SCHEMA), batch)
+        spark.catalog.clearCache()
+        return rows(tables.load_table(spark, path), *COLUMNS)
+
+    return load
+
+
+def test_an_old_load_replayed_changes_nothing(spark, tmp_path):
+    load = loader(spark, str(tmp_path / "pa"))
+    load("a", (1, 1, "old", DAY))
+    expected = load("b", (1, 1, "corrected", DAY), (2, 1, "x", DAY))
+    assert load("a", (1, 1, "old", DAY)) == expected == [(1, 1, "corrected", DAY), (2, 1, "x", DAY)]
+
+
+def test_a_name_with_other_content_is_a_new_load(spark, tmp_path):
+    load = loader(spark, str(tmp_path / "pa"))
+    load("a", (1, 1, "x", DAY))
+    assert load("a", (1, 1, "y", DAY), (2, 1, "z", DAY)) == [(1, 1, "y", DAY), (2, 1, "z", DAY)]
+
+
+def test_null_partitions_keep_their_history(spark, tmp_path):
+    load = loader(spark, str(tmp_path / "pa"))
+    load("a", (1, 1, "x", None))
+    assert load("b", (2, 1, "y", None)) == [(1, 1, "x", None), (2, 1, "y", None)]
+    got = load("c", (1, 1, "x", DAY), (2, 1, "z", DAY))
+    assert got == [(1, 1, "x", DAY), (2, 1, "z", DAY)]
+
+
+def test_a_load_that_stopped_before_its_entry_is_completed_first(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "pa")
+    load = loader(spark, path)
+    load("a", (1, 1, "x", DAY))
+    real = upsert.replace_partitions
+    monkeypatch.setattr(upsert, "replace_partitions", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError, match="lost"):
+        load("b", (2, 1, "y", DAY))
+    monkeypatch.setattr(upsert, "replace_partitions", real)
+    assert load("c", (3, 1, "z", DAY)) == [(1, 1, "x", DAY), (2, 1, "y", DAY), (3, 1, "z", DAY)]
+
+
+def test_a_failing_write_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.save_table(spark.range(3), path)
+    with pytest.raises(Exception, match="no"):
+        tables.save_table(spark.range(3).select(F.raise_error(F.lit("no")).alias("id")), path)
+    assert tables.load_table(spark, path).count() == 3
+    tables.save_table(tables.load_table(spark, path).filter("id > 0"), path)
+    assert rows(tables.load_table(spark, path)) == [(1,), (2,)]
+
+
+def test_one_date_bound_counts(spark):
+    days = spark.createDataFrame([(datetime.date(2024, 5, d),) for d in (1, 2, 3)], "game_date date")
+    assert tables.scan_by_date(days, start="2024-05-02").count() == 2
+    assert tables.scan_by_date(days, end="2024-05-02").count() == 2
+    assert rows(tables.scan_by_date(days)) == [(datetime.date(2024, 5, 3),)]
+
+
+def test_park_factors_of_any_year(spark):
+    html = 'data = [{"venue_id": 5, "name_display_club": "Cubs", "metric_value_2019": 101, "metric_value_2026": "97.5", "other": 1}];'
+    found = totals.map_to_long_factors(files.extract_embedded_maps(spark.createDataFrame([(html,), ("none",)], "html string")))
+    assert rows(found, "venue_id", "name_display_club", "year", "park_factor") == [(5, "Cubs", 2019, 101.0), (5, "Cubs", 2026, 97.5)]
+
+
 def test_scratch_root_is_the_configured_folder(spark):
     assert session.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
 
@@ -178,7 +249,7 @@ def test_daily_run_and_report(spark, tmp_path):
     ]).write.parquet(landed)
     oaa = str(tmp_path / "oaa")
     spark.createDataFrame([(4, 2023, 2)], "player_id bigint, year int, outs_above_average bigint").write.parquet(oaa)
-    args = ["update-day", "--root", root, "--batch", "d1", "--pitches", landed, "--oaa", oaa]
+    args = ["update-day", "--root", root, "--batch", "d1", "--pitches", landed, "--oaa", oaa, "--last-year", "2025"]
     cli.update_day(spark, cli.parser().parse_args(args))
     featured = tables.load_table(spark, f"{root}/pa_features")
     assert featured.count() == 4

@@ -1,3 +1,5 @@
+import time
+
 from conftest import rows
 
 from priorline.operators import events
@@ -36,3 +38,33 @@ def test_only_closed_days_are_appended(spark, tmp_path):
     got = [(r["user_id"], str(r["day"]), r["daily_events"]) for r in spark.read.parquet(path).collect()]
     assert sorted(got) == [(1, "2024-01-01", 2), (2, "2024-01-02", 1)]
     assert daily.stream_daily_totals(table, "user_id").count() == 3
+
+
+def test_a_correction_in_a_later_file_wins(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    one = {"game_pk": 1, "at_bat_number": 1, "pitch_number": 3}
+    for event in ("single", "field_error"):
+        pitches(spark, [one | {"events": event}]).coalesce(1).write.mode("append").parquet(source)
+        upsert.stream_last_pitches(spark, source, path, checkpoint).awaitTermination()
+        time.sleep(1.1)  # files are told apart by the second
+    assert rows(upsert.stored_plate_appearances(spark, path), "events") == [("field_error",)]
+
+
+def test_a_fresh_checkpoint_loads_new_files(spark, tmp_path):
+    first, second, path = (str(tmp_path / n) for n in ("one", "two", "out"))
+    for k, source in enumerate((first, second)):
+        pitches(spark, [{"game_pk": g, "at_bat_number": 1, "pitch_number": 1, "events": "walk"} for g in (1 + 2 * k, 2 + 2 * k)]).write.parquet(source)
+        upsert.stream_last_pitches(spark, source, path, str(tmp_path / f"check{k}")).awaitTermination()
+    spark.catalog.clearCache()
+    assert rows(upsert.stored_plate_appearances(spark, path), "game_pk") == [(1,), (2,), (3,), (4,)]
+
+
+def test_open_days_are_kept(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for data in ([(1, "2024-01-01 10:00:00", "a")], [(1, "2024-01-01 11:00:00", "a"), (2, "2024-01-05 01:00:00", "b")]):
+        table = spark.createDataFrame(data, "user_id bigint, ts string, event_type string").selectExpr("user_id", "cast(ts as timestamp) as ts", "event_type")
+        table.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(table.schema).parquet(source)
+        daily.keep_in(daily.stream_daily_totals(stream, "user_id"), path, checkpoint, "user_id").awaitTermination()
+    spark.catalog.clearCache()
+    assert [(r[0], r[1]) for r in rows(spark.read.parquet(path), "user_id", "daily_events")] == [(1, 2), (2, 1)]
