@@ -16,7 +16,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ from priorline.session import stored
 PERCENT = 75
 MISSED = 1e-7
 SHARED = 3
+#: 64-bit words of the sketch that is compared while groups are joined.
+WORDS = 16
 #: Up to so many ids are sent to all tasks to pick texts; more are joined by shuffling.
 SENT_IDS = 1_000_000
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64))
@@ -80,6 +83,13 @@ def bit_sketch(found: np.ndarray) -> bytes:
     return np.packbits((flips & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def fixed_sketch(found: np.ndarray) -> np.ndarray:
+    """A parity sketch of ``WORDS`` 64-bit words, whatever the set's size."""
+    bits = 64 * WORDS
+    flips = np.bincount((mix(found ^ _SEEDS[4093]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((flips & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def distance(a: bytes, b: bytes) -> int:
     """Hamming distance of two sketches, the longer one folded: a lower bound of the differing shingles."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -114,7 +124,7 @@ def prepare(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             for first, last, words, at in word_runs(batch.column(2)):
-                sizes, nodes, keys, sketches = [], [], [], []
+                sizes, nodes, keys, sketches, fixed = [], [], [], [], []
                 for k in range(last - first):
                     found = shingles(words[at[k] : at[k + 1]])
                     node = set_hash(found)
@@ -124,16 +134,18 @@ def prepare(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     nodes.append(node)
                     keys.append(signed(block_keys(found)) if new else None)
                     sketches.append(bit_sketch(found) if new else None)
+                    fixed.append(fixed_sketch(found) if new else None)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first),
                         pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+                        pa.array(fixed, pa.list_(pa.int64())),
                     ],
-                    ["id", "row", "size", "node", "keys", "sketch"],
+                    ["id", "row", "size", "node", "keys", "sketch", "bits"],
                 )
 
-    return rows.mapInArrow(run, f"id {kind}, row long, size long, node long, keys array<long>, sketch binary")
+    return rows.mapInArrow(run, f"id {kind}, row long, size long, node long, keys array<long>, sketch binary, bits array<long>")
 
 
 def _near(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -219,10 +231,22 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     )
     # The first member of a group has been compared with all others.
     mixed = ranked.filter(f"place >= {SHARED} and low < high and node != lead").select("key", "node", "label")
-    mixed = stored(mixed, "join-mixed")
-    left = mixed.select("key", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = mixed.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    rest = left.join(right, "key").filter("a < b and label_a != label_b").select("a", "b").distinct()
+    known = prepared.filter("sketch is not null").select("node", "size", "bits")
+    known = known.join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    mixed = stored(mixed.join(known, "node"), "join-mixed")
+
+    def side(x: str) -> DataFrame:
+        return mixed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "bits")])
+
+    # Sizes and sketches are compared within the join, so that pairs beyond the bound are never written.
+    flips = [F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(WORDS)]
+    near = (
+        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+        & (100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b"))
+        & ((100 + PERCENT) * reduce(add, flips) <= (100 - PERCENT) * (F.col("size_a") + F.col("size_b")))
+    )
+    met = side("a").withColumnRenamed("key", "_key").join(side("b"), (F.col("_key") == F.col("key")) & near)
+    rest = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     more = stored(_verified(stored(rest, "join-pairs"), prepared, docs, id_column, text_column), "join-links")
     merged = components(
         more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
