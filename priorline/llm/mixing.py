@@ -8,6 +8,7 @@ target shares. All steps are DataFrame expressions; a source with most of the ro
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,8 +19,6 @@ from priorline.session import stored
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
 BLOCK_TOKENS = 2048
-#: Rows that one window of a hot source may hold, on average.
-CHUNK_ROWS = 20_000
 _CELLS_PER_SOURCE = 8
 #: The golden ratio's fraction in 40 bits (odd, so all points differ), and the width by which slot numbers are split.
 _BITS = 40
@@ -32,6 +31,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def chunk_count(rows: int) -> int:
+    """Chunks to rank so many rows of one key in: with their root, both the chunks and the rows in each stay few."""
+    return 1 + math.isqrt(rows) // 4
+
+
 def running_total(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, name: str) -> DataFrame:
     """Exclusive running sum of a column per key, in the order of ``chunk`` and then ``order``.
 
@@ -114,7 +118,7 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     points = spark.range(2 * slots + 2).select("id", F.floor(point.cast("double") / scale * slots).cast("long").alias("_at"))
     points = points.withColumn("_cell", F.floor(F.col("_at") * cells / max(slots, 1)).cast("long"))
     hit = points.join(by_cell, "_cell").filter((F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high")))
-    hit = hit.select("id", "rank", "source_size", "target", "quota", F.floor(F.col("id") / CHUNK_ROWS).alias("_chunk"), F.lit(1).alias("_one"))
+    hit = hit.select("id", "rank", "source_size", "target", "quota", F.floor(F.col("id") / math.ceil((2 * slots + 2) / chunk_count(slots))).alias("_chunk"), F.lit(1).alias("_one"))
     ranked = running_total(hit, ["rank"], "_chunk", ["id"], "_one", "turn").filter(F.col("turn") < F.col("quota"))
     blocks = F.ceil(F.col("source_size") / block)
     ranked = ranked.withColumn("block", F.col("turn") % blocks).withColumn("epoch", F.floor(F.col("turn") / blocks))
@@ -147,7 +151,7 @@ def mix(
     units = stored(units.groupBy("id", "source", "size").agg(F.count("*").alias("copies")), "mix-units")
     units = units.withColumn("tokens", F.col("size") * F.col("copies"))
     sizes = units.groupBy("source").agg(F.sum("tokens").alias("source_size"), F.count("*").alias("n"))
-    chunks = 1 + int(sizes.agg(F.max("n")).first()[0] or 0) // CHUNK_ROWS
+    chunks = chunk_count(int(sizes.agg(F.max("n")).first()[0] or 0))
     sources = stored(targets(sizes.drop("n"), weights, max_repeats), "mix-sources")
 
     draw = F.xxhash64(F.lit(seed), "id", "size")
