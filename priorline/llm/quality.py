@@ -141,7 +141,9 @@ def accepted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Da
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(margins(batch.column(place), shared.value) >= 0))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):  # smaller batches keep the memory of a worker down
+                batch = whole.slice(at, 1000)
+                yield batch.filter(pa.array(margins(batch.column(place), shared.value) >= 0))
 
     return docs.mapInArrow(run, docs.schema)
