@@ -27,7 +27,6 @@ PERCENT = 75
 #: A passage has several paragraphs; one in a common band is enough.
 MISSED = 0.2
 ROWS = 2
-SENT_IDS = 1_000_000
 _SEEDS = mix(np.arange(9001, 9301, dtype=np.uint64))
 
 
@@ -103,8 +102,7 @@ def _sets(chosen: DataFrame, docs: DataFrame, id_column: str, text_column: str)
     by_doc = stored(chosen.groupBy("doc").agg(F.collect_list(F.struct("node", "first")).alias("wanted")), "passage-wanted")
     text = F.col(f"`{text_column}`").cast("string")
     texts = docs.select(F.xxhash64(F.col(f"`{id_column}`"), text).alias("doc"), text.alias("text"))
-    few = by_doc.count() <= SENT_IDS // 16  # lists of a few dozen numbers each
-    texts = texts.join(F.broadcast(by_doc) if few else by_doc, "doc").select("wanted", "text")
+    texts = texts.join(by_doc, "doc").select("wanted", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
