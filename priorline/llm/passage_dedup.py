@@ -10,11 +10,12 @@ group, and clustered by connected components; in each cluster the document with
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline.llm.components import components
@@ -118,12 +119,65 @@ def _sets(chosen: DataFrame, docs: DataFrame, id_column: str, text_column: str)
     return texts.mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
 
 
+def spans_of(doc: int, placed: list[dict]) -> list[tuple]:
+    """First word, end word, paragraphs, cluster and removed for each run of touching paragraphs with one keeper.
+
+    A paragraph that another document keeps is cut where it meets words that this document keeps itself.
+    """
+    runs: dict[int, list[list]] = {}
+    for one in sorted(placed, key=lambda p: p["first"]):
+        first, end = one["first"], one["first"] + SPAN
+        own = runs.setdefault(one["kept"], [])
+        if own and first <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], end)
+            own[-1][2].add(first)
+        else:
+            own.append([first, end, {first}, one["cluster"]])
+    out = [(first, end, len(at), cluster, False) for first, end, at, cluster in runs.get(doc, [])]
+    keeps = [(first, end) for first, end, *_ in out]
+    starts, ends = [k[0] for k in keeps], [k[1] for k in keeps]
+    for kept in runs.keys() - {doc}:
+        for first, end, at, cluster in runs[kept]:
+            left = first
+            for k in range(bisect_right(ends, first), bisect_left(starts, end)):
+                if left < keeps[k][0]:
+                    out.append((left, keeps[k][0], sum(left <= x < keeps[k][0] for x in at), cluster, True))
+                left = keeps[k][1]
+            if left < end:
+                out.append((left, end, sum(left <= x < end for x in at), cluster, True))
+    return sorted(out, key=lambda s: (s[0], s[1]))
+
+
+def _spans(by_doc: DataFrame, id_column: str) -> DataFrame:
+    kind = by_doc.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id")
+            rows, at = [], []
+            for k, (doc, placed) in enumerate(zip(batch.column("doc").to_pylist(), batch.column("placed").to_pylist())):
+                found = spans_of(doc, placed)
+                rows += found
+                at += [k] * len(found)
+            columns = list(zip(*rows)) if rows else [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), ids.type, pa.bool_()]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
+                [id_column, "first_word", "end_word", "paragraphs", "cluster", "removed"],
+            )
+
+    shape = f"`{id_column}` {kind}, first_word long, end_word long, paragraphs long, cluster {kind}, removed boolean"
+    return by_doc.mapInArrow(run, shape)
+
+
 def repeated_passages(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, rows: int = ROWS, missed: float = MISSED
 ) -> DataFrame:
     """Spans of text that repeat in other documents: id, first and last word (exclusive), paragraphs, cluster, removed.
 
-    A cluster is named by the smallest id of its documents; ``removed`` is false in that document only. Passages of
+    A cluster is named by the smallest id of its documents; ``removed`` is false in that document only, and a span holds
+    one cluster's words: where clusters meet, a new one starts, and no removed span covers words its document keeps.
+    Spans of clusters that different other documents keep may overlap. Passages of
     fewer words than a paragraph are not looked at, nor are those repeated within one document alone. Null, empty and
     short texts have no spans. Rows with equal id and text count once; an empty table gives an empty result.
     """
@@ -164,12 +218,5 @@ def repeated_passages(
     owner = F.struct(F.col("id").isNull().alias("none"), "id", "doc")
     clusters = placed.groupBy("label").agg(F.min(owner).alias("owner"), F.max(owner).alias("other")).filter("owner.doc != other.doc")
     found = placed.join(clusters.select("label", F.col("owner.doc").alias("kept"), F.col("owner.id").alias("cluster")), "label")
-    by_doc = Window.partitionBy("doc").orderBy("first")
-    new = F.col("first") > F.coalesce(F.max(F.col("first") + SPAN).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    found = found.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(by_doc))
-    spans = found.groupBy("doc", "id", "span").agg(
-        F.min("first").alias("first_word"), F.max(F.col("first") + SPAN).alias("end_word"),
-        F.count_distinct("first").alias("paragraphs"), F.min("cluster").alias("cluster"),
-        F.max(F.col("doc") != F.col("kept")).alias("removed"),
-    )
-    return spans.select(F.col("id").alias(id_column), "first_word", "end_word", "paragraphs", "cluster", "removed")
+    found = found.select("doc", "id", F.struct("first", "kept", "cluster").alias("p"))
+    return _spans(found.groupBy("doc").agg(F.first("id").alias("id"), F.collect_list("p").alias("placed")), id_column)

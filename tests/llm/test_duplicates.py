@@ -123,6 +123,20 @@ def test_passages_are_found_wherever_they_stand(spark):
     assert passage_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_a_longer_passage_is_kept_where_a_shared_part_of_it_is_removed(spark):
+    random.seed(6)
+    some = lambda n: [f"x{random.randrange(10**9)}" for _ in range(n)]
+    a, b = some(120), some(120)
+    texts = {1: some(60) + a + some(60), 2: some(50) + a + b + some(50), 3: some(70) + a + b + some(30)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], DOCS)
+    left = {i: list(t) for i, t in texts.items()}
+    for r in passage_dedup.repeated_passages(df).collect():
+        if r.removed:
+            left[r.doc_id][r.first_word : r.end_word] = [None] * (r.end_word - r.first_word)
+    assert set(a) <= set(left[1]) and set(b) <= set(left[2])
+    assert sum(w in set(a) for w in left[2]) < 60 and sum(w in set(a + b) for w in left[3]) < 60
+
+
 def plain_vectors(rows, threshold=0.98):
     fit = [v is not None and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, l in rows]
     groups, links = Groups(len(rows)), [0] * len(rows)
