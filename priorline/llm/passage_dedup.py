@@ -2,16 +2,16 @@
 
 Repeated passages begin and end anywhere in a line, so a paragraph here is what stands around an anchor: a word pair
 whose hash is the least within ``REACH`` words on either side, with ``SPAN`` words about it. A shared passage has the
-same anchors in every document, wherever it stands. Paragraphs that collide in a band of minimum hashes over their
-five-word shingles are verified by exact Jaccard similarity against the first and the last paragraph of the band's
+same anchors in every document, wherever it stands. Paragraphs that collide in a pair of the minimum hashes of their
+five-word shingles (so many that similar ones always do) are verified by exact Jaccard similarity against the first and the last paragraph of the key's
 group, and clustered by connected components; in each cluster the document with the smallest id keeps its passage.
 """
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +25,26 @@ from priorline.session import stored
 REACH = 7
 SPAN = 20
 PERCENT = 75
-#: A passage has several paragraphs; one in a common band is enough.
-MISSED = 0.2
+#: Shingles that a key is made of.
 ROWS = 2
+_SHINGLES = SPAN - WIDTH + 1
 _SEEDS = mix(np.arange(9001, 9301, dtype=np.uint64))
 
 
-def bands_for(percent: int, rows: int, missed: float) -> int:
-    """Bands of so many rows such that two paragraphs at the threshold miss all of them with at most this probability."""
-    return max(1, math.ceil(math.log(missed) / math.log(1 - (percent / 100) ** rows)))
+def common(m: int, n: int, percent: int) -> int:
+    """Shingles that two sets of so many must share at least."""
+    return -(-percent * (m + n) // (100 + percent))
+
+
+def partners(size: int, loose: bool, percent: int) -> list[int]:
+    """Sizes of the sets that a set of this size can be similar to.
+
+    A set is loose if its paragraph repeats a word pair. From 75 per cent on, the others are similar only to sets of at
+    most one shingle less: within a paragraph without repeated word pairs each pair has one successor, so the shared
+    shingles of the other paragraph follow each other in one run and at most one of its shingles can stand twice.
+    """
+    least = 1 if loose or percent < 75 else _SHINGLES - 1
+    return [m for m in range(least, _SHINGLES + 1) if common(size, m, percent) <= min(size, m)]
 
 
 def anchors(words: np.ndarray) -> np.ndarray:
@@ -48,29 +59,61 @@ def anchors(words: np.ndarray) -> np.ndarray:
     return first[(first >= 0) & (first + SPAN <= len(words))]
 
 
-def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words, and the shingles of each paragraph."""
+def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words, the shingles of each paragraph, and whether it repeats a word pair."""
     first = anchors(words)
     if not len(first):
-        return first, np.zeros((0, SPAN - WIDTH + 1), np.uint64)
-    return first, windows(words)[first[:, None] + np.arange(SPAN - WIDTH + 1)]
+        return first, np.zeros((0, _SHINGLES), np.uint64), np.zeros(0, bool)
+    double = np.sort(pairs(words)[first[:, None] + np.arange(SPAN - 1)], axis=1)
+    return first, windows(words)[first[:, None] + np.arange(_SHINGLES)], (double[:, 1:] == double[:, :-1]).any(1)
 
 
 def nodes_of(found: np.ndarray) -> np.ndarray:
     return mix(found.sum(1, dtype=np.uint64) + mix(np.bitwise_xor.reduce(found, axis=1)))
 
 
-def band_keys(found: np.ndarray, rows: int, bands: int) -> np.ndarray:
-    """One key per paragraph and band: its least hashes under the band's permutations."""
-    keys = np.zeros((len(found), bands), np.uint64)
-    for b in range(bands):
-        for r in range(rows):
-            keys[:, b] = mix(keys[:, b] + mix(found ^ _SEEDS[b * rows + r]).min(1) + _SEEDS[200 + b])
-    return keys
+def by_size(found: np.ndarray, loose: np.ndarray, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows of one size and kind, their hashed distinct shingles in order, and the kind."""
+    hashes = np.sort(mix(found ^ _SEEDS[seed]), axis=1)
+    again = np.zeros(hashes.shape, bool)
+    again[:, 1:] = hashes[:, 1:] == hashes[:, :-1]
+    order = np.argsort(again, axis=1, kind="stable")
+    hashes, sizes = np.take_along_axis(hashes, order, 1), hashes.shape[1] - again.sum(1)
+    for kind in (False, True):
+        for size in np.unique(sizes[loose == kind]):
+            at = np.flatnonzero((sizes == size) & (loose == kind))
+            yield at, hashes[at, :size], kind
+
+
+def band_keys(found: np.ndarray, loose: np.ndarray, percent: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Paragraphs and their keys: all runs of ``rows`` among the least hashes of a set.
 
+    Two sets that share c shingles have the first ``rows`` shared ones among their least size - c + rows hashes, so
+    similar sets have a key in common, without exception.
+    """
+    own, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at, hashes, kind in by_size(found, loose, 0):
+        size = hashes.shape[1]
+        shared = min(common(size, m, percent) for m in partners(size, kind, percent))
+        width = min(rows, shared)
+        for chosen in combinations(range(min(size, size - shared + width)), width):
+            key = np.full(len(at), _SEEDS[200], np.uint64)
+            for k in chosen:
+                key = mix(key + hashes[:, k])
+            own.append(at)
+            keys.append(key)
+    return np.concatenate(own), np.concatenate(keys)
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int64()))
 
-def _written(docs: DataFrame, id_column: str, text_column: str, rows: int, bands: int) -> DataFrame:
-    """Per document: id, doc (a key of id and text), and its paragraphs' first words, nodes and band keys."""
+
+def _written(docs: DataFrame, id_column: str, text_column: str, percent: int, rows: int) -> DataFrame:
+    """Per document: id, doc (a key of id and text), its paragraphs' first words and nodes, and keys with their nodes.
+
+    Keys are given once for a node in a run of documents.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
     text = F.col(f"`{text_column}`").cast("string")
     keyed = docs.select(F.col(f"`{id_column}`").alias("id"), text.alias("text"))
@@ -79,23 +122,26 @@ def _written(docs: DataFrame, id_column: str, text_column: str, rows: int, bands
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, words, at in word_runs(batch.column(2)):
-                parts = []
-                for k in range(last - first):
-                    place, found = paragraphs(words[at[k] : at[k + 1]])
-                    keys = band_keys(found, rows, bands)
-                    parts.append((place, signed(nodes_of(found)), [signed(row) for row in keys.T.copy()]))
-                keys = [[[int(v) for v in row] for row in zip(*p[2])] if len(p[0]) else [] for p in parts]
+                parts = [paragraphs(words[at[k] : at[k + 1]]) for k in range(last - first)]
+                counts = np.array([len(p[0]) for p in parts])
+                place, found, loose = (np.concatenate(c) for c in zip(*parts))
+                nodes = nodes_of(found)
+                _, once = np.unique(nodes, return_index=True)
+                once.sort()
+                own, keys = band_keys(found[once], loose[once], percent, rows)
+                order = np.argsort(own, kind="stable")
+                own, keys = once[own[order]], keys[order]
+                ends = np.searchsorted(own, np.concatenate([[0], np.cumsum(counts)]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first),
-                        pa.array([p[0] for p in parts], pa.list_(pa.int64())),
-                        pa.array([p[1] for p in parts], pa.list_(pa.int64())),
-                        pa.array(keys, pa.list_(pa.list_(pa.int64()))),
+                        _lists(place, counts), _lists(signed(nodes), counts),
+                        _lists(signed(nodes[own]), np.diff(ends)), _lists(signed(keys), np.diff(ends)),
                     ],
-                    ["id", "doc", "first", "node", "bands"],
+                    ["id", "doc", "first", "node", "of", "key"],
                 )
 
-    return keyed.mapInArrow(run, f"id {kind}, doc long, first array<long>, node array<long>, bands array<array<long>>")
+    return keyed.mapInArrow(run, f"id {kind}, doc long, first array<long>, node array<long>, of array<long>, key array<long>")
 
 
 def _sets(chosen: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -113,7 +159,7 @@ def _sets(chosen: DataFrame, docs: DataFrame, id_column: str, text_column: str)
                     found = windows(words[at[k] : at[k + 1]])
                     for one in wanted:
                         nodes.append(one["node"])
-                        sets.append(np.unique(found[one["first"] : one["first"] + SPAN - WIDTH + 1]).tobytes())
+                        sets.append(np.unique(found[one["first"] : one["first"] + _SHINGLES]).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "found"])
 
     return texts.mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
@@ -171,7 +217,7 @@ def _spans(by_doc: DataFrame, id_column: str) -> DataFrame:
 
 
 def repeated_passages(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, rows: int = ROWS, missed: float = MISSED
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, rows: int = ROWS
 ) -> DataFrame:
     """Spans of text that repeat in other documents: id, first and last word (exclusive), paragraphs, cluster, removed.
 
@@ -181,20 +227,17 @@ def repeated_passages(
     fewer words than a paragraph are not looked at, nor are those repeated within one document alone. Null, empty and
     short texts have no spans. Rows with equal id and text count once; an empty table gives an empty result.
     """
-    written = stored(_written(docs, id_column, text_column, rows, bands_for(percent, rows, missed)), "passage-paragraphs")
-    each = written.select("doc", F.explode(F.arrays_zip("first", "node", "bands")).alias("p"))
-    each = each.select("doc", F.col("p.first").alias("first"), F.col("p.node").alias("node"), F.explode("p.bands").alias("key"))
-    groups = each.groupBy("key").agg(
-        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min("node").alias("lead"), F.max("node").alias("last")
-    )
-    groups = groups.filter("low < high").select("key", "lead", "last")
-    members = stored(each.join(groups, "key").select("doc", "first", "node", "lead", "last"), "passage-members")
+    written = stored(_written(docs, id_column, text_column, percent, rows), "passage-paragraphs")
+    occurring = written.select("doc", F.explode(F.arrays_zip("first", "node")).alias("p")).select("doc", "p.first", "p.node")
+    each = written.select(F.explode(F.arrays_zip("key", "of")).alias("p")).select("p.key", F.col("p.of").alias("node"))
+    groups = each.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
+    members = stored(each.join(groups, "key").select("key", "node", "lead", "last").distinct(), "passage-members")
 
     ends = F.explode(F.array("lead", "last"))
-    pair = members.filter("lead < last").select(ends.alias("a"), F.col("node").alias("b")).filter("a != b")
+    pair = members.select(ends.alias("a"), F.col("node").alias("b")).filter("a != b")
     pair = stored(pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "passage-pairs")
-    involved = pair.select(F.col("a").alias("node")).union(pair.select(F.col("b").alias("node"))).distinct()
-    chosen = members.join(involved, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "first")).alias("c"))
+    involved = members.select("node").distinct()
+    chosen = occurring.join(involved, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "first")).alias("c"))
     sets = stored(_sets(chosen.select("node", "c.doc", "c.first"), docs, id_column, text_column), "passage-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,17 +245,18 @@ def repeated_passages(
             keep = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 m, n = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                common = len(np.intersect1d(m, n, assume_unique=True))
-                keep.append(100 * common >= percent * (len(m) + len(n) - common))
+                keep.append(len(np.intersect1d(m, n, assume_unique=True)) >= common(len(m), len(n), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("node").alias("a"), F.col("found").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
     links = pair.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-    labels = components(links)
+    labels = stored(components(links), "passage-labels")
 
     ids = written.select("id", "doc").dropDuplicates(["doc"])
-    placed = members.select("doc", "first", "node").distinct().join(labels, "node", "left")
+    repeated = occurring.groupBy("node").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    involved = repeated.select("node").union(labels.select("node")).distinct()
+    placed = occurring.join(involved, "node").join(labels, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node")).join(ids, "doc")
     placed = stored(placed.select("id", "doc", "first", "label"), "passage-placed")
     owner = F.struct(F.col("id").isNull().alias("none"), "id", "doc")

@@ -137,6 +137,44 @@ def test_a_longer_passage_is_kept_where_a_shared_part_of_it_is_removed(spark):
     assert sum(w in set(a) for w in left[2]) < 60 and sum(w in set(a + b) for w in left[3]) < 60
 
 
+def edited_paragraphs():
+    """Sets of 20 words each and copies with one or two edits, some of words that come again and again."""
+    random.seed(8)
+    out = []
+    for k in range(4000):
+        period = random.choice([20, 20, 20, 3, 8, 11, 12, 13, 14, 15])
+        base = [f"y{random.randrange(10**9)}" for _ in range(period)]
+        words = (base * 20)[:60]
+        for _ in range(2):
+            at, t = random.randint(0, 6), list(words)
+            for _ in range(random.choice([0, 1, 1, 2])):
+                t[at + random.choice([0, 1, 2, 3, 9, 16, 17, 18, 19])] = f"z{random.randrange(10**9)}"
+            out.append((k, t[at : at + 20]))
+    return out
+
+
+def test_similar_paragraphs_always_share_a_key():
+    place = {}
+    number = lambda w: place.setdefault(w, len(place))
+    words = np.array([[number(w) for w in t] for _, t in edited_paragraphs()], np.uint64)
+    words = passage_dedup.mix(words + np.uint64(7))
+    found = np.array([passage_dedup.windows(w) for w in words])
+    double = [passage_dedup.pairs(w) for w in words]
+    loose = np.array([len(np.unique(d)) < len(d) for d in double])
+    own, keys = passage_dedup.band_keys(found, loose, 75, 2)
+    by = {k: set() for k in range(len(found))}
+    for k, key in zip(own.tolist(), keys.tolist()):
+        by[k].add(key)
+    links = uneven = 0
+    for k in range(0, len(found), 2):
+        a, b = set(found[k].tolist()), set(found[k + 1].tolist())
+        if 100 * len(a & b) >= 75 * len(a | b):
+            links += 1
+            uneven += len(a) != len(b)
+            assert by[k] & by[k + 1]
+    assert links > 500 and uneven > 20
+
+
 def plain_vectors(rows, threshold=0.98):
     fit = [v is not None and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, l in rows]
     groups, links = Groups(len(rows)), [0] * len(rows)
