@@ -4,7 +4,8 @@ Repeated passages begin and end anywhere in a line, so a paragraph here is what
 whose hash is the least within ``REACH`` words on either side, with ``SPAN`` words about it. A shared passage has the
 same anchors in every document, wherever it stands. Paragraphs that collide in a pair of the minimum hashes of their
 five-word shingles (so many that similar ones always do) are verified by exact Jaccard similarity against the first and the last paragraph of the key's
-group, and clustered by connected components; in each cluster the document with the smallest id keeps its passage.
+group. Those of groups that then still hold several components are joined on the subsets that similar sets have in
+common, so no pair is left out. All links are clustered by connected components; in each cluster the document with the smallest id keeps its passage.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ PERCENT = 75
 #: Shingles that a key is made of.
 ROWS = 2
 _SHINGLES = SPAN - WIDTH + 1
+_ROWS_AT_ONCE = 1000
 _SEEDS = mix(np.arange(9001, 9301, dtype=np.uint64))
 
 
@@ -154,15 +156,72 @@ def _sets(chosen: DataFrame, docs: DataFrame, id_column: str, text_column: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, words, at in word_runs(batch.column(1)):
-                nodes, sets = [], []
+                nodes, sets, loose = [], [], []
                 for k, wanted in enumerate(batch.column(0).slice(first, last - first).to_pylist()):
                     found = windows(words[at[k] : at[k + 1]])
+                    double = pairs(words[at[k] : at[k + 1]])
                     for one in wanted:
                         nodes.append(one["node"])
+                        loose.append(len(np.unique(double[one["first"] : one["first"] + SPAN - 1])) < SPAN - 1)
                         sets.append(np.unique(found[one["first"] : one["first"] + _SHINGLES]).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "found"])
+                columns = [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(loose, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "found", "loose"])
 
-    return texts.mapInArrow(run, "node long, found binary").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "node long, found binary, loose boolean").dropDuplicates(["node"])
+
+
+def subset_keys(found: np.ndarray, loose: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """Rows, keys, sizes and levels: one key for each subset of a set that a similar set can have in common with it.
+
+    ``found`` holds one row of shingles per set, short sets filled up with their last one. The level is the subset's
+    size. Two sets with an equal key share that subset; two similar ones have an equal key at their least common size.
+    """
+    for at, hashes, kind in by_size(found, loose, 1):
+        size = hashes.shape[1]
+        whole = np.bitwise_xor.reduce(hashes, axis=1)
+        for level in sorted({common(size, m, percent) for m in partners(size, kind, percent)}):
+            for left_out in combinations(range(size), size - level):
+                key = whole.copy()
+                for k in left_out:
+                    key ^= hashes[:, k]
+                yield at, mix(key + _SEEDS[201 + level]), size, level
+
+
+def _subset_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b by which all similar ones among the sets are connected, without comparing pairs.
+
+    Sets with an equal subset are linked to the smallest of them: if two of them are similar, each is to that one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), _ROWS_AT_ONCE):
+                part = batch.slice(first, _ROWS_AT_ONCE)
+                nodes, loose = np.array(part.column("node").to_pylist(), np.int64), np.array(part.column("loose").to_pylist(), bool)
+                found = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("found")]
+                found = np.array([np.pad(x, (0, _SHINGLES - len(x)), "edge") for x in found])
+                for at, key, size, level in _gathered(subset_keys(found, loose, percent)):
+                    columns = [pa.array(signed(key)), pa.array(nodes[at]), pa.array(size), pa.array(level)]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "node", "size", "level"])
+
+    keyed = sets.select("node", "found", "loose").mapInArrow(run, "key long, node long, size int, level int")
+    met = keyed.groupBy("key").agg(F.min(F.struct("size", "node")).alias("least"), F.min("node").alias("low"), F.max("node").alias("high"))
+    met = met.filter("low < high").select("key", "least")
+    near = (100 + percent) * F.col("level") >= percent * (F.col("size") + F.col("least.size"))
+    links = keyed.join(met, "key").filter((F.col("node") != F.col("least.node")) & near)
+    return links.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _gathered(parts: Iterator[tuple], rows: int = 100_000) -> Iterator[tuple]:
+    """The same in fewer, longer pieces."""
+    held: list[tuple] = []
+    for at, key, size, level in parts:
+        held.append((at, key, np.full(len(at), size, np.int32), np.full(len(at), level, np.int32)))
+        if sum(len(h[0]) for h in held[-1:]) * len(held) >= rows:
+            yield tuple(np.concatenate(c) for c in zip(*held))
+            held = []
+    if held:
+        yield tuple(np.concatenate(c) for c in zip(*held))
 
 
 def spans_of(doc: int, placed: list[dict]) -> list[tuple]:
@@ -251,8 +310,17 @@ def repeated_passages(
     one = sets.select(F.col("node").alias("a"), F.col("found").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
     links = pair.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    links = stored(links, "passage-links")
     labels = stored(components(links), "passage-labels")
 
+    # Groups that hold several components beside their first and last, which have been compared with all others.
+    inner = members.filter("node != lead and node != last").select("key", "node").join(labels, "node", "left")
+    inner = inner.withColumn("label", F.coalesce("label", "node"))
+    mixed = inner.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    rest = stored(inner.join(mixed.select("key"), "key", "left_semi").select("node").distinct(), "passage-mixed")
+    more = stored(_subset_links(sets.join(rest, "node", "left_semi"), percent), "passage-links")
+    labels = stored(components(links.union(more)), "passage-labels")
+
     ids = written.select("id", "doc").dropDuplicates(["doc"])
     repeated = occurring.groupBy("node").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     involved = repeated.select("node").union(labels.select("node")).distinct()

@@ -175,6 +175,40 @@ def test_similar_paragraphs_always_share_a_key():
     assert links > 500 and uneven > 20
 
 
+def test_near_copies_in_one_crowded_group_are_all_linked(spark):
+    random.seed(9)
+    word = lambda: f"q{random.randrange(10**9)}"
+    template, at = [word() for _ in range(60)], 0
+    rows = []
+    for k in range(300):
+        text = list(template)
+        for at in (21, 27, 33, 39):
+            text[at] = word()
+        rows += [(2 * k, text), (2 * k + 1, [*text[:44], word(), *text[45:]])]
+    rows = [(i, [word() for _ in range(30)] + t + [word() for _ in range(30)]) for i, t in rows]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], DOCS)
+    where = {}
+    for i, t in rows:
+        words = next(passage_dedup.word_runs(passage_dedup.pa.array([" ".join(t)])))[2]
+        for first, found in zip(*passage_dedup.paragraphs(words)[:2]):
+            where.setdefault(frozenset(found.tolist()), set()).add((i, int(first)))
+    sets = list(where)
+    groups = Groups(len(sets))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            groups.join(a, b)
+    docs = {}
+    for k, one in enumerate(sets):
+        docs.setdefault(groups.of(k), set()).update(where[one])
+    want = {p: min(c)[0] for c in docs.values() if len({i for i, _ in c}) > 1 for p in c}
+    got = passage_dedup.repeated_passages(df).collect()
+    assert len(set(want.values())) > 100
+    for (i, first), least in want.items():
+        spans = [r for r in got if r.doc_id == i and r.first_word < first + 20 and first < r.end_word]
+        assert any(r.cluster == least and r.removed == (i != least) for r in spans) or any(not r.removed for r in spans)
+    assert {i for i, _ in want} == {r.doc_id for r in got}
+
+
 def plain_vectors(rows, threshold=0.98):
     fit = [v is not None and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, l in rows]
     groups, links = Groups(len(rows)), [0] * len(rows)
