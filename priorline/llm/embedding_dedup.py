@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by iterative quantisation, multi-index Hamming tables and exact reranking.
 
-Binary codes come from rotations that bring centred vectors close to the corners of a cube (learned on a bounded sample
-by alternating signs and a Procrustes step). Codes are cut into tables of short substrings; vectors of a label that
-agree on a whole substring are candidates, and their cosine is taken on the original vectors. Width and number of the
-tables follow from the largest label and the threshold. Equal vectors are one class and are compared once. A crowded
-substring is cut into cells, and each pair of cells is one bounded piece of work.
+Binary codes come from rotations through the origin that bring vectors close to the corners of a cube (learned on a
+bounded sample by alternating signs and a Procrustes step). Vectors are not centred: the number of tables follows from
+the angle at the origin, and around a common mean angles are wider. Codes are cut into tables of short substrings;
+vectors of a label that agree on a whole substring are candidates, and their cosine is taken on the original vectors.
+Width and number of the tables follow from the largest label and the threshold. Equal vectors are one class and are
+compared once. A crowded substring is cut into cells, and each pair of cells is one bounded piece of work.
 """
 
 from __future__ import annotations
@@ -37,29 +38,28 @@ def tables_for(rows: int, threshold: float, missed: float) -> tuple[int, int]:
     return width, math.ceil(math.log(missed) / math.log(1 - same))
 
 
-def learn(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and matrix whose signs give one code bit per dimension: principal axes, then iterative quantisation."""
+def learn(vectors: np.ndarray, seed: int) -> np.ndarray:
+    """Matrix whose signs give one code bit per dimension: principal axes through the origin, then iterative quantisation."""
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    centre = unit.mean(0)
-    _, axes = np.linalg.eigh((unit - centre).T @ (unit - centre))
-    projected, turn = (unit - centre) @ axes, rotation(len(centre), seed)
+    _, axes = np.linalg.eigh(unit.T @ unit)
+    projected, turn = unit @ axes, rotation(unit.shape[1], seed)
     for _ in range(_STEPS):
         corners = np.where(projected @ turn >= 0, 1.0, -1.0)
         u, _, v = np.linalg.svd(corners.T @ projected)
         turn = (u @ v).T
-    return centre, axes @ turn
+    return axes @ turn
 
 
-def codes(vectors: np.ndarray, models: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def codes(vectors: np.ndarray, models: list[np.ndarray]) -> np.ndarray:
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    return np.concatenate([(unit - centre) @ turn >= 0 for centre, turn in models], axis=1)
+    return np.concatenate([unit @ turn >= 0 for turn in models], axis=1)
 
 
-def _models(trained: dict, dimension: int, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _models(trained: dict, dimension: int, bits: int) -> list[np.ndarray]:
     """Learned rotations; for a dimension that the sample lacks, random ones."""
     count = -(-bits // dimension)
     known = trained.get(dimension, [])
-    return known[:count] + [(np.zeros(dimension), rotation(dimension, 1000 + k)) for k in range(len(known), count)]
+    return known[:count] + [rotation(dimension, 1000 + k) for k in range(len(known), count)]
 
 
 def _linked(pdf: pd.DataFrame, threshold: float, cell: int) -> pd.DataFrame:

@@ -249,6 +249,20 @@ def test_embedding_links_and_recall(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_recall_around_a_common_mean():
+    g = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    mean = unit(g.standard_normal(64))
+    a = unit(0.9 * mean + 0.19**0.5 * unit(g.standard_normal((3000, 64))))
+    aside = g.standard_normal(a.shape)
+    aside = unit(aside - (aside * a).sum(1, keepdims=True) * a)
+    b = 0.98 * a + (1 - 0.98**2) ** 0.5 * aside
+    width, tables = embedding_dedup.tables_for(300_000, 0.98, embedding_dedup.MISSED)
+    models = [embedding_dedup.learn(a, seed) for seed in range(-(-width * tables // 64))]
+    x, y = (embedding_dedup.codes(v, models)[:, : width * tables].reshape(-1, tables, width) for v in (a, b))
+    assert (x == y).all(2).any(1).mean() >= 0.99
+
+
 def test_nearest_recall_and_scores(spark):
     rows = vectors()
     df = spark.createDataFrame(rows, VECTORS).withColumn("rank", F.lit(1))
