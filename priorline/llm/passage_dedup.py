@@ -6,6 +6,7 @@ same anchors in every document, wherever it stands. Paragraphs that collide in a
 five-word shingles (so many that similar ones always do) are verified by exact Jaccard similarity against the first and the last paragraph of the key's
 group. Those of groups that then still hold several components are joined on the subsets that similar sets have in
 common, so no pair is left out. All links are clustered by connected components; in each cluster the document with the smallest id keeps its passage.
+Each paragraph is then extended word by word as far as its document and the keeper's agree.
 """
 
 from __future__ import annotations
@@ -224,20 +225,106 @@ def _gathered(parts: Iterator[tuple], rows: int = 100_000) -> Iterator[tuple]:
         yield tuple(np.concatenate(c) for c in zip(*held))
 
 
+def _around(found: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Per placed paragraph (doc, id, p): the words from its middle back to the start of the one before, and on to the
+    end of the next one, as hashes from the middle outwards.
+
+    Common words end there: the next paragraph would else stand in both documents and be placed itself.
+    """
+    by_doc = stored(found.groupBy("doc").agg(F.first("id").alias("id"), F.collect_list("p").alias("placed")), "passage-placed")
+    shape = by_doc.schema["id"].dataType.simpleString()
+    text = F.col(f"`{text_column}`").cast("string")
+    texts = docs.select(F.xxhash64(F.col(f"`{id_column}`"), text).alias("doc"), text.alias("text"))
+    texts = texts.join(by_doc, "doc").select("doc", "id", "placed", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, words, at in word_runs(batch.column("text")):
+                rows, cells = [], []
+                for k, placed in enumerate(batch.column("placed").slice(low, high - low).to_pylist()):
+                    own = words[at[k] : at[k + 1]]
+                    starts = anchors(own)
+                    for one in placed:
+                        first, middle = one["first"], one["first"] + SPAN // 2
+                        turn = int(np.searchsorted(starts, first))
+                        back = int(starts[turn - 1]) if turn else 0
+                        ahead = int(starts[turn + 1]) + SPAN if turn + 1 < len(starts) else len(own)
+                        rows.append(low + k)
+                        cells.append((first, one["label"], one["kept"], own[back:middle][::-1].tobytes(), own[middle:ahead].tobytes()))
+                columns = list(zip(*cells)) if cells else [()] * 5
+                take = pa.array(rows, pa.int64())
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc").take(take), batch.column("id").take(take), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
+                    ["doc", "id", "first", "label", "kept", "before", "after"],
+                )
+
+    shape = f"doc long, id {shape}, first long, label long, kept long, before binary, after binary"
+    # Rows with equal id and text count once.
+    return texts.mapInArrow(run, shape).dropDuplicates(["doc", "first"])
+
+
+def _alike(x: bytes, y: bytes) -> int:
+    """How far two runs of words agree beyond half a paragraph; below 0 if the half itself ends in differing words."""
+    m, n = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    size, half = min(len(m), len(n)), SPAN // 2
+    same = m[:size] == n[:size]
+    if not same[half - 1]:
+        inside = np.flatnonzero(same[:half])
+        return (int(inside[-1]) + 1 if len(inside) else 0) - half
+    beyond = np.flatnonzero(~same[half:])
+    return int(beyond[0]) if len(beyond) else size - half
+
+
+def reach(before: bytes, left: bytes, after: bytes, right: bytes) -> tuple[int, int]:
+    """Words to add on either side (to take off, below 0). Paragraphs around different anchors stay as they are."""
+    back, ahead = _alike(before, left), _alike(after, right)
+    return (back, ahead) if min(back, 0) + min(ahead, 0) >= -SPAN // 2 else (0, 0)
+
+
+def _extended(found: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Placed paragraphs (doc, id, first, label, kept) with start and end of the words about their middle that the
+    keeper's paragraph and the other one share; the keeper's own reach as far as any other's."""
+    around = stored(_around(found, docs, id_column, text_column), "passage-around")
+    keepers = around.filter("doc = kept").withColumn("turn", F.xxhash64("label", "before", "after"))
+    # A paragraph that comes again within its keeper, with the same words around it, is compared once.
+    each = keepers.select("label", "turn", F.col("before").alias("left"), F.col("after").alias("right")).dropDuplicates(["turn"])
+    met = around.filter("doc != kept").join(each, "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in ("before", "left", "after", "right")}
+            found = [reach(*one) for one in zip(c["before"], c["left"], c["after"], c["right"])]
+            kept = batch.select(["doc", "first", "turn"])
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["doc", "first", "turn", "back", "ahead"]
+            )
+
+    met = met.select("doc", "first", "turn", "before", "after", "left", "right")
+    shared = stored(met.mapInArrow(run, "doc long, first long, turn long, back long, ahead long"), "passage-shared")
+    most = [F.max("back").alias("back"), F.max("ahead").alias("ahead")]
+    others = around.filter("doc != kept").drop("before", "after").join(shared.groupBy("doc", "first").agg(*most), ["doc", "first"])
+    own = keepers.drop("before", "after").join(shared.groupBy("turn").agg(*most), "turn", "left")
+    both = own.drop("turn").unionByName(others).withColumns({"back": F.coalesce("back", F.lit(0)), "ahead": F.coalesce("ahead", F.lit(0))})
+    return both.select(
+        "doc", "id", "first", "label", "kept", (F.col("first") - F.col("back")).alias("start"), (F.col("first") + SPAN + F.col("ahead")).alias("end")
+    )
+
+
 def spans_of(doc: int, placed: list[dict]) -> list[tuple]:
     """First word, end word, paragraphs, cluster and removed for each run of touching paragraphs with one keeper.
 
     A paragraph that another document keeps is cut where it meets words that this document keeps itself.
     """
     runs: dict[int, list[list]] = {}
-    for one in sorted(placed, key=lambda p: p["first"]):
-        first, end = one["first"], one["first"] + SPAN
+    for one in sorted(placed, key=lambda p: (p["start"], p["first"])):
+        first, end = one["start"], one["end"]
         own = runs.setdefault(one["kept"], [])
         if own and first <= own[-1][1]:
             own[-1][1] = max(own[-1][1], end)
-            own[-1][2].add(first)
+            own[-1][2].add(one["first"])
         else:
-            own.append([first, end, {first}, one["cluster"]])
+            own.append([first, end, {one["first"]}, one["cluster"]])
     out = [(first, end, len(at), cluster, False) for first, end, at, cluster in runs.get(doc, [])]
     keeps = [(first, end) for first, end, *_ in out]
     starts, ends = [k[0] for k in keeps], [k[1] for k in keeps]
@@ -329,6 +416,9 @@ def repeated_passages(
     placed = stored(placed.select("id", "doc", "first", "label"), "passage-placed")
     owner = F.struct(F.col("id").isNull().alias("none"), "id", "doc")
     clusters = placed.groupBy("label").agg(F.min(owner).alias("owner"), F.max(owner).alias("other")).filter("owner.doc != other.doc")
-    found = placed.join(clusters.select("label", F.col("owner.doc").alias("kept"), F.col("owner.id").alias("cluster")), "label")
-    found = found.select("doc", "id", F.struct("first", "kept", "cluster").alias("p"))
+    clusters = stored(clusters.select("label", "owner"), "passage-clusters")
+    found = placed.join(clusters.select("label", F.col("owner.doc").alias("kept")), "label")
+    found = _extended(found.select("doc", "id", F.struct("first", "label", "kept").alias("p")), docs, id_column, text_column)
+    found = found.join(clusters.select("label", F.col("owner.id").alias("cluster")), "label")
+    found = found.select("doc", "id", F.struct("first", "start", "end", "kept", "cluster").alias("p"))
     return _spans(found.groupBy("doc").agg(F.first("id").alias("id"), F.collect_list("p").alias("placed")), id_column)

@@ -209,6 +209,21 @@ def test_near_copies_in_one_crowded_group_are_all_linked(spark):
     assert {i for i, _ in want} == {r.doc_id for r in got}
 
 
+def test_spans_reach_the_ends_of_the_passage(spark):
+    random.seed(10)
+    some = lambda n: [f"u{random.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(60):
+        passage = some(random.randint(51, 120))
+        for i in (2 * k, 2 * k + 1):
+            first = random.randint(30, 90)
+            rows.append((i, " ".join(some(first) + passage + some(random.randint(30, 90)))))
+            want[i] = (first, first + len(passage))
+    got = passage_dedup.repeated_passages(spark.createDataFrame([*rows, rows[5]], DOCS)).collect()
+    assert len(got) >= 116 and len({r.doc_id for r in got}) == len(got)
+    assert all((r.first_word, r.end_word) == want[r.doc_id] for r in got)
+
+
 def plain_vectors(rows, threshold=0.98):
     fit = [v is not None and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, l in rows]
     groups, links = Groups(len(rows)), [0] * len(rows)
