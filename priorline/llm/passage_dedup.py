@@ -112,11 +112,15 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int64()))
 
 
-def _written(docs: DataFrame, id_column: str, text_column: str, percent: int, rows: int) -> DataFrame:
-    """Per document: id, doc (a key of id and text), its paragraphs' first words and nodes, and keys with their nodes.
+def _runs(column: pa.Array) -> Iterator[tuple]:
+    """First and last row, paragraphs per row, and first words, shingles and looseness of all paragraphs, run by run."""
+    for first, last, words, at in word_runs(column):
+        parts = [paragraphs(words[at[k] : at[k + 1]]) for k in range(last - first)]
+        yield first, last, np.array([len(p[0]) for p in parts]), *(np.concatenate(c) for c in zip(*parts))
 
-    Keys are given once for a node in a run of documents.
-    """
+
+def _written(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Per document: id, doc (a key of id and text), and its paragraphs' first words and nodes."""
     kind = docs.schema[id_column].dataType.simpleString()
     text = F.col(f"`{text_column}`").cast("string")
     keyed = docs.select(F.col(f"`{id_column}`").alias("id"), text.alias("text"))
@@ -124,27 +128,26 @@ def _written(docs: DataFrame, id_column: str, text_column: str, percent: int, ro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, words, at in word_runs(batch.column(2)):
-                parts = [paragraphs(words[at[k] : at[k + 1]]) for k in range(last - first)]
-                counts = np.array([len(p[0]) for p in parts])
-                place, found, loose = (np.concatenate(c) for c in zip(*parts))
-                nodes = nodes_of(found)
-                _, once = np.unique(nodes, return_index=True)
-                once.sort()
+            for first, last, counts, place, found, _ in _runs(batch.column(2)):
+                ids, keys = (batch.column(k).slice(first, last - first) for k in (0, 1))
+                columns = [ids, keys, _lists(place, counts), _lists(signed(nodes_of(found)), counts)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "first", "node"])
+
+    return keyed.mapInArrow(run, f"id {kind}, doc long, first array<long>, node array<long>")
+
+
+def _keyed(docs: DataFrame, text_column: str, percent: int, rows: int) -> DataFrame:
+    """Keys and nodes of all paragraphs, once for a node in a run of documents. They are not written but shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *_, found, loose in _runs(batch.column(0)):
+                nodes, once = np.unique(nodes_of(found), return_index=True)
                 own, keys = band_keys(found[once], loose[once], percent, rows)
-                order = np.argsort(own, kind="stable")
-                own, keys = once[own[order]], keys[order]
-                ends = np.searchsorted(own, np.concatenate([[0], np.cumsum(counts)]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first), batch.column(1).slice(first, last - first),
-                        _lists(place, counts), _lists(signed(nodes), counts),
-                        _lists(signed(nodes[own]), np.diff(ends)), _lists(signed(keys), np.diff(ends)),
-                    ],
-                    ["id", "doc", "first", "node", "of", "key"],
-                )
+                columns = [pa.array(signed(keys)), pa.array(signed(nodes[own]))]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "node"])
 
-    return keyed.mapInArrow(run, f"id {kind}, doc long, first array<long>, node array<long>, of array<long>, key array<long>")
+    return docs.select(F.col(f"`{text_column}`").cast("string")).mapInArrow(run, "key long, node long")
 
 
 def _sets(chosen: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -373,9 +376,10 @@ def repeated_passages(
     fewer words than a paragraph are not looked at, nor are those repeated within one document alone. Null, empty and
     short texts have no spans. Rows with equal id and text count once; an empty table gives an empty result.
     """
-    written = stored(_written(docs, id_column, text_column, percent, rows), "passage-paragraphs")
+    written = stored(_written(docs, id_column, text_column), "passage-paragraphs")
     occurring = written.select("doc", F.explode(F.arrays_zip("first", "node")).alias("p")).select("doc", "p.first", "p.node")
-    each = written.select(F.explode(F.arrays_zip("key", "of")).alias("p")).select("p.key", F.col("p.of").alias("node"))
+    # Spread once; the groups and their join with the members read the same exchange.
+    each = _keyed(docs, text_column, percent, rows).filter("key is not null").repartition("key")
     groups = each.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
     members = stored(each.join(groups, "key").select("key", "node", "lead", "last").distinct(), "passage-members")
 
