@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 

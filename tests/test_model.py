@@ -3,7 +3,7 @@ import statistics
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 

@@ -3,7 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 from test_events import pitches
 

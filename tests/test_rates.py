@@ -1,6 +1,6 @@
 import math
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from priorline import constants as C

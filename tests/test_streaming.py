@@ -1,6 +1,6 @@
 import time
 
-from conftest import rows
+from helpers import rows
 
 from priorline.operators import events
 from priorline.streaming import daily, upsert
