@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import embedding_dedup, jaccard_join, mixing, nearest, packing, passage_dedup, pii, quality, token_counts, url_rules
+from priorline.llm import embedding_dedup, jaccard_join, mixing, nearest, packing, passage_dedup, periodic_runs, pii, quality, token_counts, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,5 +62,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op2_quality, op3_embedding_dedup, op4_nearest, op5_personal_data, op6_packing, op7_passage_dedup, op8_jaccard_join, op9_url_rules, op10_token_counts)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op2_quality, op3_embedding_dedup, op4_nearest, op5_personal_data, op6_packing, op7_passage_dedup, op8_jaccard_join, op9_url_rules, op10_token_counts, op11_periodic_runs)}
 SQL: dict[str, str] = {"op9_url_rules": url_rules.SQL}
