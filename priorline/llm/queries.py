@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from priorline.llm import embedding_dedup, jaccard_join, mixing, nearest, packing, passage_dedup, periodic_runs, pii, quality, token_counts, url_rules
+from priorline.llm import embedding_dedup, jaccard_join, languages, mixing, nearest, packing, passage_dedup, periodic_runs, pii, quality, token_counts, turn_repair, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,5 +66,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op2_quality, op3_embedding_dedup, op4_nearest, op5_personal_data, op6_packing, op7_passage_dedup, op8_jaccard_join, op9_url_rules, op10_token_counts, op11_periodic_runs)}
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(table(spark, sf_dir, "documents"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_source_mix, op2_quality, op3_embedding_dedup, op4_nearest, op5_personal_data, op6_packing, op7_passage_dedup, op8_jaccard_join, op9_url_rules, op10_token_counts, op11_periodic_runs, op12_languages, op13_turn_repair)}
 SQL: dict[str, str] = {"op9_url_rules": url_rules.SQL}
