@@ -11,7 +11,7 @@ from priorline.catalog.event_queries import COUNTS, daily_sql
 from priorline.catalog.registry import query
 from priorline.operators import totals
 from priorline.session import scratch_path
-from priorline.sources import dims, files, nested, tables, upsert
+from priorline.sources import dims, files, key_index, nested, tables, upsert
 
 
 @query(
@@ -248,8 +248,13 @@ def _(t: Tables):
 )
 def _(t: Tables):
     """History to 1999, then an overlapping correction, then the rest twice and an old load again (replays)."""
-    pa = t.pa.select("game_pk", "at_bat_number", "events", "p_throws", "game_date")
     path = scratch_path(t.spark, "pa")
+    _load_in_parts(t, path)
+    return tables.load_table(t.spark, path).drop("month")
+
+
+def _load_in_parts(t: Tables, path: str) -> None:
+    pa = t.pa.select("game_pk", "at_bat_number", "events", "p_throws", "game_date")
 
     def between(start: str, end: str):
         return pa.filter(F.col("game_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
@@ -264,5 +269,16 @@ def _(t: Tables):
     for batch in ("a", "b", "c", "c", "a"):
         rows = loads[batch].withColumn("month", F.trunc("game_date", "month"))
         upsert.upsert_partitions(t.spark, path, rows, batch, partition="month")
-    return tables.load_table(t.spark, path).drop("month")
 
+
+@query(
+    "key_index",
+    with_views("pitch", pa=PA_SQL, body="""
+      SELECT DISTINCT game_pk AS lead_key, CAST(date_trunc('month', game_date) AS DATE) AS held_in FROM pa"""),
+)
+def _(t: Tables):
+    """The partitions of every key, as the index of a table loaded in parts names them."""
+    path = scratch_path(t.spark, "pa")
+    _load_in_parts(t, path)
+    like = key_index.entries(tables.load_table(t.spark, path), "game_pk", "month")
+    return key_index.load_index(t.spark, path, like).select(key_index.KEY, key_index.VALUE).distinct()

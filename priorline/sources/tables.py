@@ -37,14 +37,14 @@ def load_many(spark: SparkSession, paths: Sequence[str], schema: str | None = No
     return union_relaxed(*[spark.read.parquet(path) for path in paths])
 
 
-def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), options: dict[str, str] | None = None) -> None:
     """Replace the table at a path, which ``df`` may read from.
 
     The new table is written beside the old one and takes its place when it is complete, so a failing write leaves the
     old table as it is.
     """
     beside = f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(beside)
+    df.write.options(**(options or {})).partitionBy(*partition_by).parquet(beside)
     swap(df.sparkSession, beside, path)
 
 

@@ -35,7 +35,7 @@ def keep_in(counts: DataFrame, path: str, checkpoint: str, entity: str, kind: st
     def write(batch: DataFrame, batch_id: int) -> None:
         monthly = batch.withColumn("month", F.trunc("day", "month"))
         upsert_partitions(
-            batch.sparkSession, path, monthly, f"batch-{batch_id}", keys=[entity, kind, "day"], partition="month"
+            batch.sparkSession, path, monthly, f"batch-{batch_id}", keys=[entity, kind, "day"], partition="month", lead=None
         )
 
     return (
