@@ -10,7 +10,9 @@ from priorline.catalog.bindings import LAST_SQL, PA_SQL, Tables, with_views
 from priorline.catalog.registry import query, r6, rounded
 from priorline.operators import events, features, rates, sets, totals
 from priorline.plans import features as plans
-from priorline.session import stored
+from priorline.plans import increments
+from priorline.session import scratch_path, stored
+from priorline.sources import upsert
 
 COUNTS = {"pa": "is_pa", "ab": "is_ab", "h": "is_hit", "k": "is_k", "bb": "is_bb", "hbp": "is_hbp",
           "1b": "is_1b", "2b": "is_2b", "3b": "is_3b", "hr": "is_hr"}
@@ -284,6 +286,62 @@ def _(t: Tables):
     )
 
 
+def _in_three_loads(t: Tables, root: str) -> None:
+    """History, then recent days with early corrections wrongly dated, then the rows that put those right.
+
+    The features are brought up to date after each load; days are corrected, added late and emptied on the way.
+    """
+    pa = stored(t.pa.withColumn("month", F.trunc("game_date", "month").cast("date")), "plate_appearances")
+    wrong = F.col("game_pk") % 7 == 0
+    late = pa.filter(wrong & (F.year("game_date") == 1997))
+    moved = late.withColumn("game_date", F.date_add("game_date", 45)).withColumn("month", F.trunc("game_date", "month").cast("date"))
+    recent = pa.filter(F.year("game_date") >= 1998)
+    for batch, rows in {
+        "history": pa.filter(~wrong & (F.year("game_date") <= 1997) | (F.year("game_date") < 1997)),
+        "recent": recent.unionByName(moved),
+        "corrections": late,
+    }.items():
+        upsert.upsert_partitions(t.spark, f"{root}/plate_appearances", rows, batch, partition="month")
+        increments.update_features(t.spark, root)
+
+
+@query(
+    "incremental_features",
+    with_views("pitch", **chain("batter", "pitcher"), featured=PA_FEATURES_SQL, body=f"""
+      SELECT game_pk, at_bat_number, batter, pitcher, game_date, game_year, pa_outcome_category, is_platoon_adv,
+      is_batter_home, {rounded_rates("batter")}, {rounded_rates("pitcher")} FROM featured"""),
+)
+def _(t: Tables):
+    """Features kept up to date over three loads equal those computed at once."""
+    root = scratch_path(t.spark, "increments")
+    _in_three_loads(t, root)
+    return rounded(
+        increments.load_features(t.spark, root).select(
+            "game_pk", "at_bat_number", "batter", "pitcher", "game_date", "game_year", C.OUTCOME_COLUMN,
+            "is_platoon_adv", "is_batter_home", *RATES["batter"], *RATES["pitcher"],
+        )
+    )
+
+
+_carried = ", ".join(f'CAST(count(*) FILTER (WHERE {flag}) AS BIGINT) AS "{name}"' for name, flag in totals.COUNTED_FLAGS.items())
+
+
+@query(
+    "carried_totals",
+    with_views("pitch", pa=PA_SQL, months="""
+      SELECT DISTINCT CAST(date_trunc('month', game_date) AS DATE) AS m FROM pa WHERE pitcher IS NOT NULL""", body=f"""
+      SELECT pitcher, m AS game_month, {_carried} FROM pa JOIN (SELECT m FROM months UNION
+        SELECT CAST(max(m) + INTERVAL 1 MONTH AS DATE) FROM months) ON game_date < m
+      WHERE pitcher IS NOT NULL GROUP BY ALL"""),
+)
+def _(t: Tables):
+    """Pitchers' totals carried into each month, after three loads."""
+    root = scratch_path(t.spark, "increments")
+    _in_three_loads(t, root)
+    carry = increments.load_carry(t.spark, root, "pitcher")
+    return carry.select("pitcher", "game_month", *increments.COUNTS)
+
+
 @query(
     "sum_horizontal",
     with_views("pitch", body=f"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from priorline import constants as C
 from priorline.operators import events, rates, totals, trials
-from priorline.plans import features, scoring
+from priorline.plans import features, increments, scoring
 from priorline.sources import files, tables, upsert
 
 
@@ -22,10 +22,8 @@ def update_plate_appearances(spark: SparkSession, pitches: DataFrame, root: str,
 
 
 def update_features(spark: SparkSession, root: str) -> None:
-    """Recompute the feature table from the stored plate appearances."""
-    pa = tables.load_table(spark, f"{root}/plate_appearances")
-    if pa is not None:
-        tables.save_table(features.pa_features(pa), f"{root}/pa_features")
+    """Features of the stored plate appearances, from the first month that changed on; by season and month."""
+    increments.update_features(spark, root)
 
 
 def update_park_factors(pages: DataFrame, root: str) -> None:
