@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from priorline import constants as C
@@ -15,7 +16,7 @@ from priorline.catalog.serving_queries import (
     SERVING_VIEWS,
     serving_tables,
 )
-from priorline.operators import model, serving
+from priorline.operators import estimate, model, serving
 from priorline.plans import features, scoring
 from priorline.session import stored
 
@@ -235,6 +236,59 @@ def _(t: Tables):
     return counted.join(expected, "category").select("category", "n", (off < 1e-3).alias("calibrated"))
 
 
+_complete = " AND ".join(f"{c} IS NOT NULL" for c in ["outcome", *MEASURES, *BINARY])
+
+
+@query(
+    "posterior_mode",
+    with_views(lines=LINES_SQL, body=f"""SELECT outcome AS category, count(*) AS n, true AS stationary FROM lines
+      WHERE {_complete} GROUP BY 1"""),
+)
+def _(t: Tables):
+    """Rows per class, and whether the mode is stationary there: excess of each free class over its rows meets its prior."""
+    matrix = stored(features.design_matrix(line_rows(t), MEASURES, BINARY, "outcome"), "matrix")
+    fitted = scoring.fit_outcome_model(matrix, Z_NAMES, N_CLASSES)
+    own = model.load_coefficients(fitted, len(Z_NAMES), N_CLASSES)
+    scored = model.softmax_scores(matrix, Z_NAMES, own)
+    columns = [F.lit(1.0), *[F.col(z) for z in Z_NAMES]]
+
+    def off(k: int) -> Column:
+        free = own.intercepts[k] / estimate.INTERCEPT_SD**2, *(b / estimate.BETA_SD**2 for b in own.betas[k])
+        excess = [F.sum((F.col(f"p_{k}") - (F.col("label") == k).cast("double")) * x) + F.lit(prior) for x, prior in zip(columns, free)]
+        return F.greatest(*[F.abs(e) for e in excess]) if len(excess) > 1 else F.abs(excess[0])
+
+    sums = scored.agg(*[(off(k) / F.count("*")).alias(f"off_{k}") for k in range(N_CLASSES - 1)], F.count("*").alias("rows"))
+    named = F.array(*[f"off_{k}" for k in range(N_CLASSES - 1)], F.lit(0.0))
+    bounds = sums.select(F.posexplode(named).alias("category", "off"))
+    counted = matrix.groupBy(F.col("label").cast("int").alias("category")).agg(F.count("*").alias("n"))
+    return counted.join(bounds, "category").select("category", "n", (F.col("off") < 1e-8).alias("stationary"))
+
+
+_DRAWS = 2000
+
+
+@query(
+    "posterior_draws",
+    with_views(lines=LINES_SQL, body=f"""SELECT DISTINCT outcome AS category, {_DRAWS * (len(Z_NAMES) + 1)} AS n, true AS centred
+      FROM lines WHERE {_complete}"""),
+)
+def _(t: Tables):
+    """Draws per class, and whether their means are the estimate within five standard errors."""
+    matrix = stored(features.design_matrix(line_rows(t), MEASURES, BINARY, "outcome"), "matrix")
+    mode = estimate.posterior_mode(matrix, Z_NAMES, N_CLASSES)
+    draws = stored(estimate.posterior_draws(t.spark, mode, 2, _DRAWS // 2), "draws")
+    keys = ["param", "predictor", "category"]
+    means = model.posterior_mean(draws).withColumnRenamed("value", "mean")
+    spread = draws.groupBy(*keys).agg(F.stddev("value").alias("sd"), F.count("*").alias("n"))
+    fitted = estimate.parameter_rows(t.spark, mode)
+    left, right = means.alias("m"), spread.alias("s")
+    same = [F.col(f"m.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    both = left.join(right, same).select("m.*", "sd", "n").alias("b")
+    met = both.join(fitted.alias("f"), [F.col(f"b.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]).select("b.*", "value")
+    near = F.abs(F.col("mean") - F.col("value")) <= 5 * F.col("sd") / F.sqrt("n") + 1e-12
+    return met.groupBy("category").agg(F.sum("n").cast("int").alias("n"), F.bool_and(near).alias("centred"))
+
+
 CONTINUOUS, ORDERED = C.CONTINUOUS_COLUMNS, [*C.CONTINUOUS_COLUMNS, *C.BINARY_COLUMNS]
 MATCHUP_SCALER_SQL = "SELECT " + ", ".join(
     f"avg({c}) AS \"m_{c}\", CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS \"s_{c}\""

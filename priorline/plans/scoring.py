@@ -8,39 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from priorline import constants as C
-from priorline.operators import events, model, serving
+from priorline.operators import estimate, events, model, serving
 
 
 def fit_outcome_model(
-    matrix: DataFrame, features: Sequence[str], n_classes: int, max_iter: int = 100
+    matrix: DataFrame, features: Sequence[str], n_classes: int, max_iter: int = 50
 ) -> DataFrame:
     """Multinomial logit point estimate as ``(param, predictor, category, value)`` rows.
 
-    A ridge penalty of 1/n on the mean loss is the N(0, 1) prior on the coefficients. The last
-    class is then pinned to zero by subtracting its parameters. Training is distributed; the
-    fitted parameters are ``n_classes * (len(features) + 1)`` numbers.
+    The mode under the priors N(0, 1.5) of the intercepts and N(0, 1) of the coefficients, the last class pinned to zero.
+    Labels are 0 to ``n_classes - 1``, and the largest one must occur.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(matrix)
-    rows = assembled.select("features", F.col("label").cast("double").alias("label"))
-    n = max(rows.count(), 1)
-    estimator = LogisticRegression(
-        family="multinomial", standardization=False, elasticNetParam=0.0, regParam=1.0 / n, maxIter=max_iter
-    )
-    fitted = estimator.fit(rows)
-    betas = fitted.coefficientMatrix.toArray()
-    intercepts = fitted.interceptVector.toArray()
-    if len(intercepts) != n_classes:
-        raise ValueError(f"expected {n_classes} classes in the data, found {len(intercepts)}")
-    betas, intercepts = betas - betas[-1], intercepts - intercepts[-1]
-    parameters = [("intercepts", None, k, float(v)) for k, v in enumerate(intercepts)]
-    parameters += [
-        ("betas", j, k, float(betas[k][j])) for k in range(n_classes) for j in range(len(features))
-    ]
-    schema = "param string, predictor int, category int, value double"
-    return matrix.sparkSession.createDataFrame(parameters, schema)
+    found = matrix.agg(F.max(F.col("label").cast("int")).alias("most")).first()["most"]
+    if found is None or found + 1 != n_classes:
+        raise ValueError(f"expected {n_classes} classes in the data, found {0 if found is None else found + 1}")
+    mode = estimate.posterior_mode(matrix, features, n_classes, max_steps=max_iter)
+    return estimate.parameter_rows(matrix.sparkSession, mode)
 
 
 def score_outcomes(
