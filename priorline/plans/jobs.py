@@ -63,7 +63,10 @@ def score_day(
     """Scored matchups of all of a day's games from the stored tables."""
 
     def stored(name: str) -> DataFrame:
-        return spark.read.parquet(f"{root}/{name}")
+        found = tables.load_table(spark, f"{root}/{name}")
+        if found is None:
+            raise ValueError(f"there is no table {name} in {root}")
+        return found
 
     return scoring.score_games(
         games, lineup, stored("batter_projections"), stored("pitcher_projections"), handedness,

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,17 +10,21 @@ from pyspark.sql import functions as F
 
 from priorline.operators.events import season_of_date
 from priorline.operators.sets import union_relaxed
+from priorline.sources import versions
 
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def load_table(spark: SparkSession, path: str, schema: str | None = None, **options) -> DataFrame | None:
-    """A Parquet table, or None when there is none at the path. Other failures are raised."""
+    """A Parquet table (its current version), or None when there is none at the path. Other failures are raised."""
+    where = versions.current(spark, path)
+    if where is None and versions.versions(spark, path):
+        return None  # a first version that was never finished
     reader = spark.read.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     try:
-        return reader.parquet(path)
+        return reader.parquet(where or path)
     except AnalysisException as error:
         if error.getCondition() in _ABSENT:
             return None
@@ -32,32 +35,19 @@ def load_many(spark: SparkSession, paths: Sequence[str], schema: str | None = No
     """Season files as one table. With a declared wide schema they are one scan, and int and
     bigint files read together; without it each file keeps its types and the union widens them.
     """
+    folders = [versions.folder_of(spark, path) for path in paths]
     if schema is not None:
-        return spark.read.schema(schema).parquet(*paths)
-    return union_relaxed(*[spark.read.parquet(path) for path in paths])
+        return spark.read.schema(schema).parquet(*folders)
+    return union_relaxed(*[spark.read.parquet(folder) for folder in folders])
 
 
 def save_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), options: dict[str, str] | None = None) -> None:
     """Replace the table at a path, which ``df`` may read from.
 
-    The new table is written beside the old one and takes its place when it is complete, so a failing write leaves the
-    old table as it is.
+    The new table is a version of its own and becomes the current one when it is complete (``sources.versions``), so a
+    write that fails or stops anywhere leaves the old table as it is, and there is a whole table at any moment.
     """
-    beside = f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).partitionBy(*partition_by).parquet(beside)
-    swap(df.sparkSession, beside, path)
-
-
-def swap(spark: SparkSession, beside: str, path: str) -> None:
-    """Put a complete table in the place of another."""
-    to = spark._jvm.org.apache.hadoop.fs.Path
-    target, old = to(path.rstrip("/")), to(f"{path.rstrip('/')}__old-{uuid.uuid4().hex}")
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    if files.exists(target):
-        files.rename(target, old)
-    if not files.rename(to(beside), target):
-        raise OSError(f"{beside} could not take the place of {path}")
-    files.delete(old, True)
+    versions.save_version(df, path, partition_by, options)
 
 
 def delete_table(spark: SparkSession, path: str) -> None:
@@ -79,7 +69,7 @@ def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) ->
     """
     df.hint("rebalance", *partition_by).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*partition_by).parquet(path)
+    ).partitionBy(*partition_by).parquet(versions.folder_of(df.sparkSession, path))
 
 
 def save_results(results: DataFrame, path: str) -> None:
