@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from priorline import constants as C
@@ -67,12 +67,10 @@ def semi_filter(projections: DataFrame, ids: DataFrame, player_id: str = "xMLBAM
 
 
 def both_sides(df: DataFrame) -> DataFrame:
-    """Rows of the games that have a home and an away row."""
-    sides = df.groupBy("game_pk").agg(
-        F.bool_or(F.col("side") == "home").alias("_home"),
-        F.bool_or(F.col("side") == "away").alias("_away"),
-    )
-    return df.join(sides.filter("_home and _away").select("game_pk"), "game_pk", "left_semi")
+    """Rows of the games that have a home and an away row; ``df`` is derived once, its games told by a window."""
+    game = Window.partitionBy("game_pk")
+    sides = {f"_{s}": F.max((F.col("side") == s).cast("int")).over(game) for s in ("home", "away")}
+    return df.withColumns(sides).filter("_home = 1 and _away = 1").drop(*sides)
 
 
 def assemble_lineup(
