@@ -202,6 +202,18 @@ def _(t: Tables):
     return month.unionByName(latest)
 
 
+@query(
+    "scan_newest",
+    with_views("pitch", body="""
+      SELECT game_pk, at_bat_number, batter, game_date FROM pitch WHERE game_date = (SELECT max(game_date) FROM pitch)"""),
+)
+def _(t: Tables):
+    """The most recent date of a stored table, found in its file footers."""
+    path = scratch_path(t.spark, "pitches")
+    tables.save_table(t.pitch.select("game_pk", "at_bat_number", "batter", "game_date"), path)
+    return tables.scan_newest(t.spark, path)
+
+
 SEASONS = [
     (1996, "1996-04-01", "1996-11-02"), (1997, "1997-04-07", "1997-11-05"),
     (1998, "1998-03-30", "1998-11-01"), (1999, "1999-03-28", "1999-11-02"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -124,6 +125,41 @@ def scan_by_date(events: DataFrame, start=None, end=None, date: str = "game_date
     return events.filter(F.col(date) == latest)
 
 
+#: Settings under which Spark answers a maximum from Parquet footers.
+_FOOTERS = {"spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+def newest_date(spark: SparkSession, path: str, date: str = "game_date", schema: str | None = None) -> datetime.date | None:
+    """Latest date of a stored table, None for none, from file footers or, for a partition column, from the listing.
+
+    No row group is read: the footers' statistics are the source of the aggregate.
+    """
+    plan = _newest(spark, path, date, schema)
+    return None if plan is None else plan.first()[0]
+
+
+def _newest(spark: SparkSession, path: str, date: str, schema: str | None) -> DataFrame | None:
+    before = {key: spark.conf.get(key, None) for key in _FOOTERS}
+    try:
+        for key, value in _FOOTERS.items():
+            spark.conf.set(key, value)
+        table = load_table(spark, path, schema)
+        if table is None:
+            return None
+        found = table.agg(F.max(date).alias("newest"))
+        found._jdf.queryExecution().executedPlan()  # planned under these settings
+        return found
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def scan_newest(spark: SparkSession, path: str, date: str = "game_date", schema: str | None = None) -> DataFrame | None:
+    """Rows of the most recent date of a stored table; its literal date prunes partitions and row groups."""
+    table, newest = load_table(spark, path, schema), newest_date(spark, path, date, schema)
+    return table if table is None else table.filter(F.col(date) == F.lit(newest).cast("date"))
+
+
 def require_rows(df: DataFrame, message: str) -> DataFrame:
     """The same rows; an empty table is an error when the plan runs."""
     present = df.limit(1).agg(F.count(F.lit(1)).alias("n")).select(

@@ -230,6 +230,21 @@ def test_one_date_bound_counts(spark):
     assert rows(tables.scan_by_date(days)) == [(datetime.date(2024, 5, 3),)]
 
 
+def test_newest_date_comes_from_footers(spark, tmp_path):
+    days = [(datetime.date(2024, 5, d), d) for d in (1, 3, 2)]
+    df = spark.createDataFrame(days, "game_date date, n int").repartition(3)
+    plain, parted = str(tmp_path / "plain"), str(tmp_path / "parted")
+    tables.save_table(df, plain)
+    tables.save_table(df, parted, ["game_date"])
+    text = tables._newest(spark, plain, "game_date", None)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MAX(game_date)]" in text
+    for path in (plain, parted):
+        assert tables.newest_date(spark, path) == datetime.date(2024, 5, 3)
+        assert rows(tables.scan_newest(spark, path), "n") == [(3,)]
+    assert tables.newest_date(spark, str(tmp_path / "none")) is None and tables.scan_newest(spark, str(tmp_path / "none")) is None
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
 def test_park_factors_of_any_year(spark):
     html = 'data = [{"venue_id": 5, "name_display_club": "Cubs", "metric_value_2019": 101, "metric_value_2026": "97.5", "other": 1}];'
     found = totals.map_to_long_factors(files.extract_embedded_maps(spark.createDataFrame([(html,), ("none",)], "html string")))
