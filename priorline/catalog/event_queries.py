@@ -372,6 +372,15 @@ WHERE player_id IS NOT NULL GROUP BY player_id, game_year
 """
 
 
+@query("merged_innings", with_views("pitch", pa=PA_SQL, body=INNINGS_SQL))
+def _(t: Tables):
+    """Innings from the bitmaps of overlapping loads: three that share out the seasons, and three seasons once more."""
+    pa = stored(t.pa, "plate_appearances")
+    loads = [totals.innings_bitmaps(pa.filter(F.col("game_year") % 3 == k)) for k in range(3)]
+    again = totals.innings_bitmaps(pa.filter(F.col("game_year").between(1996, 1998)))
+    return totals.counted_innings(totals.merged_bitmaps(*loads, again))
+
+
 @query("distinct_innings", with_views("pitch", pa=PA_SQL, body=INNINGS_SQL))
 def _(t: Tables):
     return totals.distinct_innings(t.pa)

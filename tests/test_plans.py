@@ -107,6 +107,21 @@ def test_hot_player_innings_against_brute_force(spark):
     assert {r["player_id"]: r["total_innings_played"] for r in got.collect()} == dict(brute)
 
 
+def test_merged_innings_equal_a_distinct_count(spark):
+    rng = random.Random(7)
+    values = [
+        {"game_pk": rng.choice([None, *range(5), 10**9, 2**40]), "at_bat_number": n, "inning": rng.choice([None, 1, 2, 63, 64, 65, 130]),
+         "game_year": rng.choice([2022, 2023, None]), **{f"fielder_{k}": rng.choice([None, 7, 8, 9]) for k in range(2, 10)}}
+        for n in range(400)
+    ]
+    df = pitches(spark, values).repartition(6)
+    loads = [totals.innings_bitmaps(df.filter(F.pmod("at_bat_number", F.lit(3)) == k)) for k in (0, 1, 2, 1)]
+    merged = totals.merged_bitmaps(totals.merged_bitmaps(*loads[:2]), *loads[2:])
+    columns = ["player_id", "game_year", "total_innings_played"]
+    assert rows(totals.counted_innings(merged), *columns) == rows(totals.distinct_innings(df), *columns)
+    assert totals.counted_innings(totals.innings_bitmaps(df.limit(0))).count() == 0
+
+
 def test_results_do_not_depend_on_partitioning(spark):
     rng = random.Random(8)
     names = ["single", "walk", "strikeout", "field_out", "home_run"]
