@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,10 +58,11 @@ def learn(texts: pa.Array, labels: np.ndarray, s: Settings) -> np.ndarray:
     for first, _, cell, at in features(texts, s.cells):
         for k in range(len(at) - 1):
             index, count = np.unique(cell[at[k] : at[k + 1]], return_counts=True)
-            value = count / max(1.0, float(at[k + 1] - at[k])) ** 0.5
-            rows.append((np.append(index, s.cells), np.append(value, 1.0), float(labels[first + k])))
+            scale = max(1.0, float(at[k + 1] - at[k])) ** 0.5
+            rows.append((np.append(index, s.cells).astype(np.int32), count.astype(np.int32), scale, float(labels[first + k])))
     for _ in range(s.passes):
-        for index, value, label in rows:
+        for index, count, scale, label in rows:
+            value = np.append(count / scale, 1.0)
             zi, ni = z[index], n[index]
             w = np.where(np.abs(zi) > s.l1, -(zi - np.sign(zi) * s.l1) / ((s.beta + np.sqrt(ni)) / s.alpha + s.l2), 0.0)
             p = 1 / (1 + np.exp(-np.clip(w @ value, -35, 35)))
@@ -81,16 +81,20 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFra
         .groupBy("_id").agg(F.max("_label").alias("_label"))
         .withColumn("_draw", F.xxhash64("_id")).orderBy("_draw", "_id").limit(s.sample)
     )
-    sample = docs.join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("_draw", "_id", "text", "_label")  # bounded by s.sample
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_draw", "_id", "text"], kind="stable")
-        weights = learn(pa.array(pdf["text"], pa.string()), pdf["_label"].to_numpy(), s)
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.join(F.broadcast(drawn), "_id")  # bounded by s.sample
+    # One row of each id, so that the sample is bounded in rows as well.
+    sample = rows.groupBy("_draw", "_id", "_label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one"))
+    sample = sample.select("_draw", "_id", F.col("one.text").alias("text"), "_label")
+
+    def train(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("_draw", "ascending"), ("_id", "ascending")])
+        weights = learn(table.column("text").combine_chunks(), table.column("_label").to_numpy(), s)
         cells = np.flatnonzero(weights)
-        return pd.DataFrame({"cell": cells, "weight": weights[cells]})
+        return pa.table({"cell": pa.array(cells, pa.int64()), "weight": pa.array(weights[cells])})
 
     # One task reads the sample: its rows are bounded, whatever the size of the tables.
-    return sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(train, "cell long, weight double")
+    return sample.withColumn("_all", F.lit(1)).groupBy("_all").applyInArrow(train, "cell long, weight double")
 
 
 def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
@@ -103,9 +107,9 @@ def margins(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
 
 
 def _shared(model: DataFrame, s: Settings):
-    rows = model.limit(s.cells + 1).toPandas()  # bounded by the number of cells
+    rows = model.limit(s.cells + 1).toArrow()  # bounded by the number of cells
     weights = np.zeros(s.cells + 1)
-    weights[rows["cell"]] = rows["weight"]
+    weights[rows.column("cell").to_numpy()] = rows.column("weight").to_numpy()
     return model.sparkSession.sparkContext.broadcast(weights)
 
 
@@ -125,8 +129,8 @@ def scores(docs: DataFrame, model: DataFrame, s: Settings = Settings()) -> DataF
 def quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Per document: whether it was held out from learning, its score, and the predicted label.
 
-    Duplicate labels of a document count once, by the larger. Repeated documents are all scored; an empty table gives
-    an empty result. Nothing but the text enters a score.
+    Duplicate labels of a document count once, by the larger; of repeated documents one is learned from, and all are
+    scored. An empty table gives an empty result. Nothing but the text enters a score; other columns play no part.
     """
     model = stored(fit(docs, labels, s), "quality-model")
     found = scores(docs, model, s)
@@ -136,14 +140,15 @@ def quality(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Dat
 
 
 def accepted(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """The documents with a score of at least one half, all columns kept."""
+    """The documents with a score of at least one half, all columns kept, whatever their names.
+
+    Null and empty texts have the intercept's score; repeated rows stay or go together; an empty table stays empty. Only
+    the text is sent to the workers, a batch at a time; rows are filtered where they are.
+    """
     shared = _shared(stored(fit(docs, labels, s), "quality-model"), s)
-    place = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):  # smaller batches keep the memory of a worker down
-                batch = whole.slice(at, 1000)
-                yield batch.filter(pa.array(margins(batch.column(place), shared.value) >= 0))
+    @F.arrow_udf("double")
+    def margin(texts: pa.Array) -> pa.Array:
+        return pa.array(margins(texts, shared.value))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(margin(F.col("text").cast("string")) >= 0)

@@ -36,7 +36,7 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 def _powers_to(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, _CHUNK_BYTES * 2)
+        size = max(n, _CHUNK_BYTES + 2)
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
