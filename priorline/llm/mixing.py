@@ -190,7 +190,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The documents in the order of the mix, with all their columns: each as often as the mix takes its first word.
+    """The documents in the order of the mix, with all their columns, whatever their names: each as often as the mix takes
+    its first word. An empty table stays empty.
 
     Documents without words are left out, as the mix takes nothing of them. Of rows with equal id, source and size each
     is taken as the copy it happens to be. Rows are range-partitioned and sorted by their place in the mix.
@@ -206,12 +207,15 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     )
     taken = stored(taken, "mix-taken")
     key = ["__id", "__source", "__size"]
-    keyed = docs.withColumns({"_id_": F.col("doc_id"), "_source_": F.col("source"), "_size_": word_count(F.col("text"))})
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"),
+        F.col("doc_id").alias("_id_"), F.col("source").alias("_source_"), word_count(F.col("text")).alias("_size_"),
+    )
     same = F.col("_id_").eqNullSafe(F.col("__id")) & F.col("_source_").eqNullSafe(F.col("__source")) & (F.col("_size_") == F.col("__size"))
     single = keyed.join(taken.filter("copies = 1"), same)
     repeated = stored(taken.filter("copies > 1"), "mix-repeated")
     turn = F.row_number().over(Window.partitionBy("_id_", "_source_", "_size_").orderBy("_size_"))
     numbered = keyed.join(repeated.select(*key).distinct(), same, "left_semi").withColumn("_turn_", turn)
     again = numbered.join(repeated, same & (F.col("_turn_") == F.col("__copy"))).drop("_turn_")
-    mixed = single.union(again).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__position"))
-    return mixed.repartitionByRange("__position").sortWithinPartitions("__position").drop("__position")
+    mixed = single.union(again).select("whole", "__position")
+    return mixed.repartitionByRange("__position").sortWithinPartitions("__position").select("whole.*")
