@@ -2,8 +2,8 @@
 
 The base kinds (email, ip, card, phone) are taken whenever their check holds; their score only informs. Further kinds
 are taken from a score on, and only where no base span is: card and phone numbers that stand next to other digits, bank
-account numbers (mod 97) and social security numbers (only with a telling word nearby). Everything is built from SQL
-functions; positions come from the lengths of what stands between the matches.
+account numbers (mod 97), and, only with a telling word nearby, social security numbers and secrets such as keys and
+tokens (a long run of signs with letters and digits mixed). Everything is built from SQL functions; positions come from the lengths of what stands between the matches.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ NEARBY = 40
 ACCEPTED = 0.7
 _PROPOSED, _CONFIRMED, _TOLD = 0.5, 0.3, 0.2
 _LOCAL = "A-Za-z0-9._%+-"
+_SIGN = "A-Za-z0-9_-"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SHAPE = "array<struct<gap:string,found:string,after:string>>"
 _DIGIT_VALUES = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -50,7 +51,10 @@ def _mod97(found: Column) -> Column:
 
 @dataclass(frozen=True)
 class Kind:
-    """``hint`` is a cheap test that holds for every text with a match; ``check`` is None where nothing confirms."""
+    """``hint`` is a cheap test that holds for every text with a match; ``check`` is None where nothing confirms.
+
+    ``confirmed`` is what a check that holds adds to the score; a small one leaves the verdict to the words nearby.
+    """
 
     name: str
     pattern: str
@@ -58,6 +62,7 @@ class Kind:
     check: Callable[[Column], Column] | None
     words: str
     base: bool = True
+    confirmed: float = _CONFIRMED
 
 
 def _has(part: str) -> Callable[[Column], Column]:
@@ -84,6 +89,9 @@ KINDS = [
          "iban|account|bank", False),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", _like("[0-9]{3}-[0-9]{2}-[0-9]{4}"), None,
          "ssn|social|security|insurance", False),
+    Kind("secret", rf"(?<![{_SIGN}])[{_SIGN}]{{20,}}+", _like(f"[{_SIGN}]{{20}}"),
+         lambda m: (F.length(m) <= 512) & F.rlike(m, F.lit("^(?=(?:[^0-9]*+[0-9]){4})(?=(?:[^A-Za-z]*+[A-Za-z]){4})")),
+         "token|secret|passw|pwd|api|key|credential|bearer|auth", False, 0.1),
 ]
 BASE = [k for k in KINDS if k.base]
 
@@ -94,7 +102,7 @@ def _confirmed(kind: Kind, found: Column) -> Column:
 
 def _score(kind: Kind, found: Column, around: Column) -> Column:
     told = F.rlike(around, F.lit(rf"(?i)(?:^|[^a-z])(?:{kind.words})"))
-    sure = F.lit(0.0) if kind.check is None else F.when(_confirmed(kind, found), _CONFIRMED).otherwise(-_PROPOSED)
+    sure = F.lit(0.0) if kind.check is None else F.when(_confirmed(kind, found), kind.confirmed).otherwise(-_PROPOSED)
     return F.lit(_PROPOSED) + sure + F.when(told, _TOLD).otherwise(0.0)
 
 
@@ -155,7 +163,11 @@ def _text(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Per document: spans of each base kind, a digest of all base spans, and all spans as text."""
+    """Per document: spans of each base kind, a digest of all base spans, all spans as text and how many there are.
+
+    A null or empty text has no spans; null ids stay null; repeated rows give repeated results; an empty table gives an
+    empty one; other columns play no part.
+    """
     found = find(docs.select("doc_id", "text"))
 
     def of_kind(name: str) -> Column:
@@ -166,6 +178,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         *[of_kind(k.name) for k in BASE],
         F.sha2(_text(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
         _text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
 
 
