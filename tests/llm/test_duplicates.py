@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from priorline.llm import embedding_dedup, jaccard_join, nearest, passage_dedup, url_rules
@@ -93,6 +94,34 @@ def test_jaccard_join_finds_every_link(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_other_columns_of_the_kept_documents_stay(spark):
+    rows = near_copies()[:60]
+    extra = {c: F.lit(7) for c in ("__row", "__turn", "key", "turn", "whole", "wordless", "label", "keys")}
+    df = spark.createDataFrame(rows, DOCS)
+    wide = jaccard_join.one_of_each(df.withColumns(extra))
+    assert sorted(map(str, wide.select("doc_id", "text").collect())) == sorted(map(str, jaccard_join.one_of_each(df).collect()))
+    assert wide.filter("__row <> 7 or key <> 7 or turn <> 7").count() == 0
+
+
+@pytest.mark.parametrize("leads, sent", [(3, 1_000_000), (0, 0)])
+def test_a_crowded_group_of_near_copies_is_joined_whole(spark, monkeypatch, leads, sent):
+    """Copies of one text with a fifth of it replaced: few are similar to the first, most to some other one."""
+    monkeypatch.setattr(jaccard_join, "LEADS", leads)
+    monkeypatch.setattr(jaccard_join, "SENT_IDS", sent)
+    g = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(700):
+        t = list(base)
+        for k in g.sample(range(4), g.randrange(4)):
+            at = 15 * k + g.randrange(3)
+            t[at : at + 2] = [f"x{g.randrange(3)}", f"y{g.randrange(2)}"]
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, " ".join(g.choices(base, k=50))) for i in range(200)]
+    got = [tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(5)).collect()]
+    assert sorted(got) == sorted(plain_classes(rows))
+
+
 def test_bit_sketches_bound_the_difference_from_below():
     g = np.random.default_rng(1)
     for n, m in ((5, 6), (40, 50), (300, 310), (500, 600)):

@@ -1,12 +1,15 @@
 """Token counts, packing, personal data, quality and mixing against plain versions."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -127,6 +130,19 @@ def test_further_kinds_and_marks(spark):
     assert "4524132264652876" not in text[4]
 
 
+def test_secrets_need_their_shape_and_a_word(spark):
+    secret = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'set token = "{secret}" now', f"commit {secret} merged", "the token abcdefghijklmnopqrstuvwxyz is none", f"API_KEY={secret[:22]}",
+             "key " + "a1" * 400, "token 1234567890123456789012"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    found = {r.doc_id: (r.spans, r.n_spans) for r in pii.personal_data(df).collect()}
+    assert found[0] == (f"secret:13:{13 + len(secret)}", 1) and [found[k][1] for k in (1, 2, 4)] == [0, 0, 0]
+    assert "secret" not in found[5][0]
+    text = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert text[0] == 'set token = "<SECRET>" now' and text[1] == texts[1] and text[2] == texts[2]
+    assert pii.personal_data(df.limit(0)).collect() == []
+
+
 def test_quality_learns_from_labels_that_are_not_held_out(spark):
     random.seed(1)
     good = lambda: " ".join(random.choice(["river", "stone", "light", "green", "over"]) for _ in range(40))
@@ -141,6 +157,48 @@ def test_quality_learns_from_labels_that_are_not_held_out(spark):
     kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns and kept.filter("doc_id % 4 = 0 and doc_id < 300").count() == 0
     assert {r.score for r in quality.quality(docs, labels.limit(0)).collect()} == {0.5}
+    # Other columns, repeats of a learned document and empty tables change nothing.
+    extra = {c: F.lit(7) for c in ("_id", "_label", "_draw", "_all", "one", "cell", "margin", "h")}
+    more = docs.union(docs.filter("doc_id = 8")).withColumns(extra)
+    again = {(r.doc_id, round(r.score, 9)) for r in quality.quality(more, labels.withColumns(extra)).collect()}
+    assert again == {(r.doc_id, round(r.score, 9)) for r in rows.values()}
+    both = quality.accepted(more, labels.withColumns(extra))
+    assert both.columns == more.columns and both.select(*docs.columns).exceptAll(kept).count() == 0
+    assert quality.accepted(docs.limit(0), labels).count() == 0 and quality.quality(docs.limit(0), labels).count() == 0
+
+
+def plain_ftrl(rows, s):
+    """Weights by cell, one update after the other, in plain numbers; rows are (label, {cell: value})."""
+    z, n = {}, {}
+
+    def weight(c):
+        v = z.get(c, 0.0)
+        return 0.0 if abs(v) <= s.l1 else -(v - math.copysign(s.l1, v)) / ((s.beta + n[c] ** 0.5) / s.alpha + s.l2)
+
+    for _ in range(s.passes):
+        for label, cells in rows:
+            w = {c: weight(c) for c in cells}
+            p = 1 / (1 + math.exp(-sum(w[c] * v for c, v in cells.items())))
+            for c, v in cells.items():
+                g = (p - label) * v
+                sigma = ((n.get(c, 0.0) + g * g) ** 0.5 - n.get(c, 0.0) ** 0.5) / s.alpha
+                z[c], n[c] = z.get(c, 0.0) + g - sigma * w[c], n.get(c, 0.0) + g * g
+    return weight
+
+
+def test_learning_equals_plain_updates():
+    random.seed(2)
+    s = quality.Settings(cells=1 << 10)
+    texts = [" ".join(random.choices(["a", "bb", "c", "dd", "e"], k=random.randrange(12))) for _ in range(60)]
+    labels = [int("bb" in t.split()) for t in texts]
+    rows = []
+    for text, label in zip(texts, labels):
+        (_, _, cell, at), = quality.features(pa.array([text]), s.cells)
+        counts = Counter(cell[at[0] : at[1]].tolist())
+        rows.append((label, {c: v / max(1, at[1]) ** 0.5 for c, v in counts.items()} | {s.cells: 1.0}))
+    weights, plain = quality.learn(pa.array(texts), np.array(labels), s), plain_ftrl(rows, s)
+    assert all(abs(weights[c] - plain(c)) < 1e-9 for _, cells in rows for c in cells)
+    assert np.count_nonzero(weights) <= len({c for _, cells in rows for c in cells})
 
 
 def water_filled(sizes, weights, repeats=3):
@@ -174,6 +232,10 @@ def test_mixing_meets_capped_targets(spark):
     assert ((taken.target - taken.taken).abs() <= 0.5).all()
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns and mixed.filter("text is null").count() == 0
+    extra = {c: F.lit(7) for c in ("copies", "_id_", "_source_", "_size_", "_turn_", "whole", "__position", "rank")}
+    wide = mixing.mixed_rows(docs.withColumns(extra))
+    assert wide.select(*docs.columns).exceptAll(mixed).count() == 0 == wide.filter("copies <> 7 or _turn_ <> 7").count()
+    assert wide.count() == mixed.count()
     assert named.count() and mixing.mixed_documents(docs.limit(0)).count() == 0 and mixing.mixed_rows(docs.limit(0)).count() == 0
 
 
