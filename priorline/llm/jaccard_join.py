@@ -7,7 +7,8 @@ parity sketch of bits (each shingle flips one bit, so the Hamming distance of tw
 differing shingles), and what remains is verified on the whole sets.
 
 Within a group of sets with an equal block every set is compared with the group's first one. Groups whose members are
-then still in different components are compared pair by pair, where each set may leave out its most crowded blocks: two
+then still in different components are compared with ``LEADS`` more members, drawn by hash, and at last pair by pair where
+a pair is not of the group's largest component, where each set may leave out its most crowded blocks: two
 similar sets share at least ``SHARED`` of the blocks that are written, so one of the shared ones is not left out. The
 number of blocks is chosen such that two sets at exactly the threshold share fewer with a probability below ``MISSED``.
 """
@@ -36,6 +37,8 @@ SHARED = 3
 WORDS = 16
 #: Up to so many ids are sent to all tasks to pick texts; more are joined by shuffling.
 SENT_IDS = 1_000_000
+#: Further members that a group with several components is compared with before its pairs are.
+LEADS = 3
 _SEEDS = mix(np.arange(1, 4097, dtype=np.uint64))
 
 
@@ -173,11 +176,9 @@ def _near(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     return sized.join(first, "a").join(second, "b").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, prepared: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """Those of the pairs that are similar, by their whole sets."""
-    pairs = stored(_near(pairs, prepared), "join-near")
-    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    chosen = prepared.filter("sketch is not null").join(involved, "node", "left_semi")
+def _sets(nodes: DataFrame, prepared: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The whole shingle sets of nodes (column node), once each, as bytes in column found."""
+    chosen = prepared.filter("sketch is not null").join(nodes.select("node").distinct(), "node", "left_semi")
     chosen = stored(chosen.groupBy("node").agg(F.min("row").alias("row")), "join-chosen")
     texts = docs.select(F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`").cast("string")).alias("row"), F.col(f"`{text_column}`").cast("string").alias("text"))
     few = chosen.count() <= SENT_IDS
@@ -191,9 +192,15 @@ def _verified(pairs: DataFrame, prepared: DataFrame, docs: DataFrame, id_column:
                     [batch.column(0).slice(first, last - first), pa.array(sets, pa.binary())], ["node", "found"]
                 )
 
-    sets = texts.mapInArrow(run, "node long, found binary")
     # Rows with equal id and text share a key; one set of each node is enough.
-    sets = stored(sets.dropDuplicates(["node"]), "join-sets")
+    return stored(texts.mapInArrow(run, "node long, found binary").dropDuplicates(["node"]), "join-sets")
+
+
+def _verified(pairs: DataFrame, prepared: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Those of the pairs that are similar, by their whole sets."""
+    pairs = stored(_near(pairs, prepared), "join-near")
+    involved = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    sets = _sets(involved, prepared, docs, id_column, text_column)
     first = sets.select(F.col("node").alias("a"), F.col("found").alias("x"))
     second = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
 
@@ -208,6 +215,33 @@ def _verified(pairs: DataFrame, prepared: DataFrame, docs: DataFrame, id_column:
     return pairs.join(second, "b").join(first, "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _merged(labels: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels of all member nodes after further links between them."""
+    now = _labelled(members.select("node").distinct(), labels)
+    ends = links.join(now.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+    ends = ends.join(now.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    joined = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    joined = joined.select(F.col("node").alias("label"), F.col("label").alias("_merged"))
+    return stored(now.join(joined, "label", "left").select("node", F.coalesce("_merged", "label").alias("label")), "join-labels")
+
+
+def _led(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Pairs that join many components at once: members of groups with several labels, each with one of another label.
+
+    A group's one is drawn by a hash of its node, the same in all of the node's groups; of the ones of its groups a member
+    meets the first drawn. So there is at most one pair for each member, and few different ones are met.
+    """
+    now = _labelled(members.select("key", "node"), labels)
+    drawn = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), F.col("node").alias("a"), F.col("label").alias("own")))
+    leads = now.groupBy("key").agg(drawn.alias("lead"), F.min("label").alias("low"), F.max("label").alias("high"))
+    met = now.join(leads.filter("low < high").select("key", "lead.*"), "key").filter("label <> own")
+    return stored(met.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("draw", "a"))["a"].alias("a")).select("a", "b"), "join-pairs")
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, row (a key of id and text), size, and label, equal for all rows of a component.
 
@@ -223,39 +257,45 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     links = stored(_verified(pairs, prepared, docs, id_column, text_column), "join-links")
     labels = stored(components(links), "join-labels")
 
-    # Groups that still hold several components.
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = labelled.groupBy("key").agg(F.count("*").alias("crowd"), F.min("label").alias("low"), F.max("label").alias("high"))
+    # Groups that still hold several components are compared with a few more of their members first.
+    for turn in range(LEADS):
+        pairs = _led(members, labels, turn)
+        if not pairs.limit(1).count():
+            break
+        labels = _merged(labels, members, stored(_verified(pairs, prepared, docs, id_column, text_column), "join-links"))
+
+    labelled = _labelled(members, labels)
+    sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    groups = sizes.groupBy("key").agg(
+        F.sum("n").alias("crowd"), F.count("*").alias("labels"), F.max(F.struct("n", "label"))["label"].alias("main")
+    )
     ranked = labelled.join(groups, "key").withColumn(
         "place", F.row_number().over(Window.partitionBy("node").orderBy(F.col("crowd").desc(), "key"))
     )
     # The first member of a group has been compared with all others.
-    mixed = ranked.filter(f"place >= {SHARED} and low < high and node != lead").select("key", "node", "label")
+    mixed = ranked.filter(f"place >= {SHARED} and labels > 1 and node != lead").select("key", "node", "label", "main")
     known = prepared.filter("sketch is not null").select("node", "size", "bits")
     known = known.join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     mixed = stored(mixed.join(known, "node"), "join-mixed")
 
     def side(x: str) -> DataFrame:
-        return mixed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "bits")])
+        return mixed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "bits", "main")])
 
-    # Sizes and sketches are compared within the join, so that pairs beyond the bound are never written.
+    # Members of a group's largest component are compared with the others only. Sizes and sketches are compared within
+    # the join, so that pairs beyond the bound are never written.
     flips = [F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(WORDS)]
     near = (
-        (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+        (F.col("label_a") != F.col("label_b"))
         & (100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b"))
         & ((100 + PERCENT) * reduce(add, flips) <= (100 - PERCENT) * (F.col("size_a") + F.col("size_b")))
-    )
-    met = side("a").withColumnRenamed("key", "_key").join(side("b"), (F.col("_key") == F.col("key")) & near)
-    rest = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    )
+    others = side("a").filter("label_a != main_a").withColumnRenamed("key", "_key")
+    met = others.join(side("b"), (F.col("_key") == F.col("key")) & near)
+    rest = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     more = stored(_verified(stored(rest, "join-pairs"), prepared, docs, id_column, text_column), "join-links")
-    merged = components(
-        more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left")
-        .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    ).select(F.col("node").alias("label"), F.col("label").alias("_merged"))
+    labels = _merged(labels, members, more)
     rows = prepared.select("id", "row", "size", F.when(F.col("size") > 0, F.col("node")).alias("node"))
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = rows.join(merged, "label", "left").withColumn("label", F.coalesce("_merged", "label"))
     return rows.select("id", "row", "size", "label")
 
 
@@ -271,13 +311,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without all but one of each component: the one with the smallest doc_id stays (null ids last).
 
-    Documents without words all stay. Columns are kept as they are.
+    Documents without words all stay. Columns are kept as they are, whatever their names; of rows with equal id and text
+    one stays; an empty table stays empty.
     """
     found = classes(docs).filter("label is not null")
     first = found.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("kept"))
-    kept = first.select(F.col("kept.row").alias("__row"))
-    wordless = ~F.rlike(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
-    keyed = docs.filter(~wordless).withColumn("__row", F.xxhash64("doc_id", F.col("text").cast("string")))
-    once = F.row_number().over(Window.partitionBy("__row").orderBy("__row"))
-    unique = keyed.withColumn("__turn", once).filter("__turn = 1").join(kept, "__row", "left_semi")
-    return unique.select(*[F.col(f"`{c}`") for c in docs.columns]).union(docs.filter(wordless))
+    kept = first.select(F.col("kept.row").alias("key"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    whole = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"),
+        F.xxhash64("doc_id", F.col("text").cast("string")).alias("key"),
+        (~F.rlike(text, F.lit(r"[^\x20\x09-\x0D]"))).alias("wordless"),
+    )
+    once = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    unique = whole.filter("not wordless").withColumn("turn", once).filter("turn = 1").join(kept, "key", "left_semi")
+    return unique.select("whole").union(whole.filter("wordless").select("whole")).select("whole.*")
