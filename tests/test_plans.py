@@ -122,6 +122,16 @@ def test_merged_innings_equal_a_distinct_count(spark):
     assert totals.counted_innings(totals.innings_bitmaps(df.limit(0))).count() == 0
 
 
+def test_a_bitmap_is_one_number(spark):
+    """Each of a player's games, however far apart, costs a row of fixed small size."""
+    values = [{"game_pk": 1000 * n, "inning": n % 130, "fielder_2": 7, "fielder_3": 7, "batter": 1, "pitcher": 2} for n in range(200)]
+    bitmaps = totals.innings_bitmaps(pitches(spark, values))
+    assert dict(bitmaps.dtypes)["innings"] == "bigint"
+    seven = bitmaps.filter("player_id = 7")
+    assert seven.count() == 200
+    assert totals.counted_innings(seven).agg(F.sum("total_innings_played")).first()[0] == 200
+
+
 def test_results_do_not_depend_on_partitioning(spark):
     rng = random.Random(8)
     names = ["single", "walk", "strikeout", "field_out", "home_run"]
