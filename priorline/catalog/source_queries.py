@@ -10,7 +10,7 @@ from priorline.catalog.bindings import PA_SQL, Tables, quoted, with_views
 from priorline.catalog.event_queries import COUNTS, daily_sql
 from priorline.catalog.registry import query
 from priorline.operators import totals
-from priorline.session import scratch_path
+from priorline.session import held, scratch_path
 from priorline.sources import dims, files, key_index, nested, tables, upsert
 
 
@@ -266,21 +266,22 @@ def _(t: Tables):
 
 
 def _load_in_parts(t: Tables, path: str) -> None:
-    pa = t.pa.select("game_pk", "at_bat_number", "events", "p_throws", "game_date")
-
-    def between(start: str, end: str):
-        return pa.filter(F.col("game_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
-
-    year = F.year("game_date")
-    loads = {
-        "a": pa.filter(year < 2000),
-        "b": between("1999-07-01", "1999-12-31").withColumn("p_throws", F.lit("S")),
-        "c": pa.filter(year >= 2000),
-    }
-    # one partition per month keeps the number of files low
-    for batch in ("a", "b", "c", "c", "a"):
-        rows = loads[batch].withColumn("month", F.trunc("game_date", "month"))
-        upsert.upsert_partitions(t.spark, path, rows, batch, partition="month")
+    """The plate appearances are a stored table, as in the daily run; five loads would derive them from the pitches five times."""
+    with held(t.pa.select("game_pk", "at_bat_number", "events", "p_throws", "game_date"), "plate_appearances") as pa:
+
+        def between(start: str, end: str):
+            return pa.filter(F.col("game_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+        year = F.year("game_date")
+        loads = {
+            "a": pa.filter(year < 2000),
+            "b": between("1999-07-01", "1999-12-31").withColumn("p_throws", F.lit("S")),
+            "c": pa.filter(year >= 2000),
+        }
+        # one partition per month keeps the number of files low
+        for batch in ("a", "b", "c", "c", "a"):
+            rows = loads[batch].withColumn("month", F.trunc("game_date", "month"))
+            upsert.upsert_partitions(t.spark, path, rows, batch, partition="month")
 
 
 @query(
