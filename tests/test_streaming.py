@@ -1,5 +1,7 @@
 import time
+from pathlib import Path
 
+import pytest
 from helpers import rows
 
 from priorline.operators import events
@@ -68,3 +70,24 @@ def test_open_days_are_kept(spark, tmp_path):
         daily.keep_in(daily.stream_daily_totals(stream, "user_id"), path, checkpoint, "user_id").awaitTermination()
     spark.catalog.clearCache()
     assert [(r[0], r[1]) for r in rows(spark.read.parquet(path), "user_id", "daily_events")] == [(1, 2), (2, 1)]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="the given data is not here")
+def test_streamed_slices_grow_in_number_with_the_shuffle(spark, monkeypatch):
+    from priorline.catalog import REGISTRY, stream_queries
+    from priorline.catalog.bindings import Tables
+
+    found = []
+
+    def stops(spark, source, *_, files_per_batch, **__):
+        found.append((len(list(Path(source).glob("*.parquet"))), files_per_batch))
+        raise OSError("enough")
+
+    monkeypatch.setattr(stream_queries.upsert, "stream_last_pitches", stops)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        with pytest.raises(OSError, match="enough"):
+            REGISTRY["stream_upsert"].build(Tables(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found == [(7, 4)]
