@@ -10,6 +10,7 @@ from test_events import pitches
 from priorline import schemas
 from priorline.operators import events, sets, totals, trials
 from priorline.plans import features
+from priorline.session import configure
 
 
 def plan(df):
@@ -145,3 +146,11 @@ def test_results_do_not_depend_on_partitioning(spark):
     few = features.pa_features(events.plate_appearances(df.coalesce(1))).select(*columns)
     many = features.pa_features(events.plate_appearances(df.repartition(7, F.rand(1)))).select(*columns)
     assert rows(few) == rows(many)
+
+
+def test_scans_are_split_to_fit_a_sort_and_shuffles_go_after_each_query(spark):
+    configure(spark)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16MB"
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    counts = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    assert rows(counts) == rows(counts)  # a second action computes again what is gone
