@@ -242,6 +242,30 @@ def _led(members: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return stored(met.groupBy(F.col("node").alias("b")).agg(F.min(F.struct("draw", "a"))["a"].alias("a")).select("a", "b"), "join-pairs")
 
 
+def _unsettled(mixed: DataFrame) -> DataFrame:
+    """Pairs a, b of different components that share a key and whose sizes and sketches allow the similarity, once each.
+
+    ``mixed`` holds key, node, label, main (the key's largest component), size, bits, and keys (all of the node's here).
+    Everything is compared within the join, so that it makes one row for a pair, however many keys the pair shares: at
+    the least of them. Members of a group's largest component are compared with the others only.
+    """
+
+    def side(x: str) -> DataFrame:
+        return mixed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "bits", "main", "keys")])
+
+    flips = [F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(WORDS)]
+    near = (
+        (F.col("label_a") != F.col("label_b"))
+        & ((F.col("label_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b")))
+        & (100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b"))
+        & ((100 + PERCENT) * reduce(add, flips) <= (100 - PERCENT) * (F.col("size_a") + F.col("size_b")))
+        & (F.col("key") == F.array_min(F.array_intersect("keys_a", "keys_b")))
+    )
+    others = side("a").filter("label_a != main_a").withColumnRenamed("key", "_key")
+    met = others.join(side("b"), (F.col("_key") == F.col("key")) & near)
+    return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+
 def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, row (a key of id and text), size, and label, equal for all rows of a component.
 
@@ -276,23 +300,10 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     mixed = ranked.filter(f"place >= {SHARED} and labels > 1 and node != lead").select("key", "node", "label", "main")
     known = prepared.filter("sketch is not null").select("node", "size", "bits")
     known = known.join(mixed.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    mixed = mixed.withColumn("keys", F.collect_list("key").over(Window.partitionBy("node")))  # a set's own blocks
     mixed = stored(mixed.join(known, "node"), "join-mixed")
-
-    def side(x: str) -> DataFrame:
-        return mixed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "size", "bits", "main")])
-
-    # Members of a group's largest component are compared with the others only. Sizes and sketches are compared within
-    # the join, so that pairs beyond the bound are never written.
-    flips = [F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(WORDS)]
-    near = (
-        (F.col("label_a") != F.col("label_b"))
-        & (100 * F.least("size_a", "size_b") >= PERCENT * F.greatest("size_a", "size_b"))
-        & ((100 + PERCENT) * reduce(add, flips) <= (100 - PERCENT) * (F.col("size_a") + F.col("size_b")))
-    )
-    others = side("a").filter("label_a != main_a").withColumnRenamed("key", "_key")
-    met = others.join(side("b"), (F.col("_key") == F.col("key")) & near)
-    rest = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    more = stored(_verified(stored(rest, "join-pairs"), prepared, docs, id_column, text_column), "join-links")
+    rest = stored(_unsettled(mixed), "join-pairs")
+    more = stored(_verified(rest, prepared, docs, id_column, text_column), "join-links")
     labels = _merged(labels, members, more)
     rows = prepared.select("id", "row", "size", F.when(F.col("size") > 0, F.col("node")).alias("node"))
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

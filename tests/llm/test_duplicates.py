@@ -94,6 +94,16 @@ def test_jaccard_join_finds_every_link(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_a_pair_of_many_shared_blocks_is_one_row(spark):
+    """Twelve sets of components of their own that share eight blocks: 66 pairs, not 8 * 66."""
+    rows = [(key, node, node, -1, 40, [0] * 16, list(range(8))) for node in range(12) for key in range(8)]
+    rows += [(key, 50 + node, -1, -1, 40, [0] * 16, list(range(8))) for node in range(2) for key in range(8)]
+    shape = "key long, node long, label long, main long, size long, bits array<long>, keys array<long>"
+    found = [tuple(r) for r in jaccard_join._unsettled(spark.createDataFrame(rows, shape)).collect()]
+    nodes = [*range(12), 50, 51]
+    assert sorted(found) == [(a, b) for a, b in itertools.combinations(nodes, 2) if (a, b) != (50, 51)]
+
+
 def test_other_columns_of_the_kept_documents_stay(spark):
     rows = near_copies()[:60]
     extra = {c: F.lit(7) for c in ("__row", "__turn", "key", "turn", "whole", "wordless", "label", "keys")}
