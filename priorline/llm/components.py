@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from priorline.session import stored
+from priorline.session import forget, stored
 
 _ROUNDS = 60
 
@@ -19,7 +19,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps (Kiveris et al. 2014) in turn until the links no longer change: each step connects
     neighbours to the smallest node nearby, by one aggregation and one join on the node, so a node with very many links
-    is pre-aggregated and its rows can be split. Each round's links are written to the shared scratch folder.
+    is pre-aggregated and its rows can be split. Each round's links are written to the shared scratch folder, and removed after the next one.
     """
     now = stored(
         links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
@@ -34,7 +34,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        last, now = now, stored(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "links")
+        forget(last)
         after = _state(now)
         if after == before:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from priorline.llm.components import components
 from priorline.llm.words import WIDTH, mix, pairs, signed, windows, word_runs
-from priorline.session import stored
+from priorline.session import forget, stored
 
 REACH = 7
 SPAN = 20
@@ -232,7 +232,8 @@ def _around(found: DataFrame, docs: DataFrame, id_column: str, text_column: str)
     """Per placed paragraph (doc, id, p): the words from its middle back to the start of the one before, and on to the
     end of the next one, as hashes from the middle outwards.
 
-    Common words end there: the next paragraph would else stand in both documents and be placed itself.
+    Common words end there: the next paragraph would else stand in both documents and be placed itself. Documents with
+    equal id and text give equal rows.
     """
     by_doc = stored(found.groupBy("doc").agg(F.first("id").alias("id"), F.collect_list("p").alias("placed")), "passage-placed")
     shape = by_doc.schema["id"].dataType.simpleString()
@@ -263,8 +264,7 @@ def _around(found: DataFrame, docs: DataFrame, id_column: str, text_column: str)
                 )
 
     shape = f"doc long, id {shape}, first long, label long, kept long, before binary, after binary"
-    # Rows with equal id and text count once.
-    return texts.mapInArrow(run, shape).dropDuplicates(["doc", "first"])
+    return texts.mapInArrow(run, shape)
 
 
 def _alike(x: bytes, y: bytes) -> int:
@@ -306,8 +306,10 @@ def _extended(found: DataFrame, docs: DataFrame, id_column: str, text_column: st
     met = met.select("doc", "first", "turn", "before", "after", "left", "right")
     shared = stored(met.mapInArrow(run, "doc long, first long, turn long, back long, ahead long"), "passage-shared")
     most = [F.max("back").alias("back"), F.max("ahead").alias("ahead")]
-    others = around.filter("doc != kept").drop("before", "after").join(shared.groupBy("doc", "first").agg(*most), ["doc", "first"])
-    own = keepers.drop("before", "after").join(shared.groupBy("turn").agg(*most), "turn", "left")
+    # Rows with equal id and text count once; the words are not shuffled for it.
+    once = lambda rows: rows.drop("before", "after").dropDuplicates(["doc", "first"])
+    others = once(around.filter("doc != kept")).join(shared.groupBy("doc", "first").agg(*most), ["doc", "first"])
+    own = once(keepers).join(shared.groupBy("turn").agg(*most), "turn", "left")
     both = own.drop("turn").unionByName(others).withColumns({"back": F.coalesce("back", F.lit(0)), "ahead": F.coalesce("ahead", F.lit(0))})
     return both.select(
         "doc", "id", "first", "label", "kept", (F.col("first") - F.col("back")).alias("start"), (F.col("first") + SPAN + F.col("ahead")).alias("end")
@@ -402,6 +404,7 @@ def repeated_passages(
     two = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
     links = pair.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
     links = stored(links, "passage-links")
+    forget(pair)
     labels = stored(components(links), "passage-labels")
 
     # Groups that hold several components beside their first and last, which have been compared with all others.
@@ -409,8 +412,11 @@ def repeated_passages(
     inner = inner.withColumn("label", F.coalesce("label", "node"))
     mixed = inner.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     rest = stored(inner.join(mixed.select("key"), "key", "left_semi").select("node").distinct(), "passage-mixed")
+    forget(members)
     more = stored(_subset_links(sets.join(rest, "node", "left_semi"), percent), "passage-links")
+    forget(sets, rest, labels)
     labels = stored(components(links.union(more)), "passage-labels")
+    forget(links, more)
 
     ids = written.select("id", "doc").dropDuplicates(["doc"])
     repeated = occurring.groupBy("node").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
@@ -418,6 +424,7 @@ def repeated_passages(
     placed = occurring.join(involved, "node").join(labels, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node")).join(ids, "doc")
     placed = stored(placed.select("id", "doc", "first", "label"), "passage-placed")
+    forget(written, labels)
     owner = F.struct(F.col("id").isNull().alias("none"), "id", "doc")
     clusters = placed.groupBy("label").agg(F.min(owner).alias("owner"), F.max(owner).alias("other")).filter("owner.doc != other.doc")
     clusters = stored(clusters.select("label", "owner"), "passage-clusters")

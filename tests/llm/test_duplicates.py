@@ -347,3 +347,21 @@ def test_address_rules(spark):
     assert got[6] == ("example.org", "", None, "allow") and got[7] == got[8] == got[9] == ("", "", None, "allow")
     assert got[10] == ("É.org", "/", "org/", "allow") and got[11] == ("a:", "//b/es/", None, "allow")
     assert url_rules.judge(df.limit(0), url_rules.given_rules(spark)).count() == 0
+
+
+def test_scratch_tables_of_passages_go_after_their_use(spark):
+    from pathlib import Path
+
+    from priorline.session import scratch_root
+
+    random.seed(9)
+    words = [f"w{i}" for i in range(500)]
+    same = random.choices(words, k=80)
+    texts = [" ".join(random.choices(words, k=60) + same + random.choices(words, k=40)) for _ in range(6)]
+    df = spark.createDataFrame([*enumerate(texts), (2, texts[2])], DOCS)
+    folder = Path(scratch_root(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    found = passage_dedup.repeated_passages(df).collect()
+    assert sorted(r.doc_id for r in found) == list(range(6)) and [r.doc_id for r in found if not r.removed] == [0]
+    left = {p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before}
+    assert not left & {"passage-members", "passage-pairs", "passage-sets", "passage-links", "passage-paragraphs", "passage-labels"}
