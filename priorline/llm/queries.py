@@ -9,11 +9,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from priorline.llm import embedding_dedup, jaccard_join, languages, mixing, nearest, packing, passage_dedup, periodic_runs, pii, quality, token_counts, turn_repair, url_rules
+from priorline.session import TEXT_SETTINGS, configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("documents", "labels"):
+        configure(spark, TEXT_SETTINGS)
     # Workers on this machine find the package wherever the session was started from.
     here = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
