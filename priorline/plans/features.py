@@ -37,11 +37,22 @@ def pa_features(
     """Plate appearances with batter and pitcher prior rates and the two context flags.
 
     ``pa`` is read three times (two narrow aggregations and the fact side); pass the stored
-    table rather than the chain that derives it from pitches.
+    table rather than the chain that derives it from pitches. The joins carry running totals, small
+    whole numbers that compress well, and the rates are taken from them after the last shuffle.
     """
-    joined = features.attach_batter_stats(pa, entity_features(pa, "batter", league))
-    joined = features.attach_pitcher_stats(joined, entity_features(pa, "pitcher", league))
-    return joined.transform(events.platoon_flag).transform(events.home_batter_flag)
+    joined = pa
+    for entity in features.ENTITIES:
+        counted = totals.prior_totals(totals.entity_daily(pa, entity), entity)
+        sums = [c for c in counted.columns if c.startswith("cum_")]
+        joined = features.attach_entity_stats(joined, counted.select(entity, "game_date", *sums), entity)
+    carried = [c for c in joined.columns if c not in pa.columns]
+    for entity in features.ENTITIES:
+        met = F.col(f"cum_pa{totals.ENTITY_SUFFIX[entity]}_prev_day").isNotNull()
+        before = set(joined.columns)
+        joined = rates.shrunken_rates(joined, entity, league)
+        # A row without totals (a null player or day) has no rates.
+        joined = joined.withColumns({c: F.when(met, F.col(c)) for c in joined.columns if c not in before})
+    return joined.drop(*carried).transform(events.platoon_flag).transform(events.home_batter_flag)
 
 
 def defense_features(

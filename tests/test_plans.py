@@ -9,6 +9,7 @@ from test_events import pitches
 
 from priorline import schemas
 from priorline.operators import events, sets, totals, trials
+from priorline.operators.features import attach_entity_stats
 from priorline.plans import features
 from priorline.session import configure
 
@@ -41,6 +42,29 @@ def test_features_have_no_cross_join_and_no_python(spark, tmp_path):
     assert text.count("Window [") == 2
 
 
+def test_features_are_shuffled_as_whole_numbers(spark, tmp_path):
+    """Rates are taken after the last shuffle; players without totals have none, as if the rates themselves were joined."""
+    values = [{"game_pk": i, "at_bat_number": 1, "pitch_number": 1, "batter": None if i % 5 == 0 else i % 3, "pitcher": None if i % 7 == 0 else i % 4, "events": "single"} for i in range(40)]
+    path = str(tmp_path / "pa")
+    events.plate_appearances(pitches(spark, values)).write.parquet(path)
+    pa = spark.read.parquet(path)
+    found = features.pa_features(pa)
+    below = [found._jdf.queryExecution().optimizedPlan()]
+    joins = 0
+    for node in below:
+        below += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joins += 1
+            assert "daily_input" not in node.output().mkString(",")
+    assert joins == 2
+    joined = pa
+    for entity in ("batter", "pitcher"):
+        joined = attach_entity_stats(joined, features.entity_features(pa, entity), entity)
+    old = joined.transform(events.platoon_flag).transform(events.home_batter_flag)
+    assert found.schema.names == old.schema.names and rows(found) == rows(old)
+    assert found.filter("batter is null and batter_non_k_out_pct_daily_input is null").count() == 8
+
+
 def test_daily_counts_are_merged_before_the_shuffle(spark, tmp_path):
     text = plan(totals.batter_daily(stored_pa(spark, tmp_path)))
     assert text.count("HashAggregate") == 2 and text.count("Exchange hashpartitioning") == 1
