@@ -42,6 +42,20 @@ def test_features_have_no_cross_join_and_no_python(spark, tmp_path):
     assert text.count("Window [") == 2
 
 
+def test_an_upsert_of_rows_of_one_derivation_shuffles_them_once(spark, tmp_path):
+    values = [(None if i % 10 == 0 else i, 1, i % 4, "single") for i in range(40)]
+    path = str(tmp_path / "p")
+    spark.createDataFrame(values, "game_pk bigint, at_bat_number int, pitch_number int, events string").write.parquet(path)
+    last = events.last_per_group(spark.read.parquet(path).unionByName(spark.read.parquet(path)))
+    history, new = last.filter("pitch_number < 3"), last.filter("pitch_number >= 2").withColumn("events", F.lit("walk"))
+    upserted = sets.upsert_events(history, new)
+    assert "isnotnull(game_pk" not in plan(upserted)  # a filter on one use of the derivation keeps its shuffle from being shared
+    got = rows(upserted)
+    # The null key's last row has pitch_number 2, so it is in both tables: null keys meet nothing.
+    expected = [(i, 1, i % 4, "walk" if i % 4 >= 2 else "single") for i in range(40) if i % 10] + [(None, 1, 2, "single"), (None, 1, 2, "walk")]
+    assert sorted(got, key=str) == sorted(expected, key=str)
+
+
 def test_features_are_shuffled_as_whole_numbers(spark, tmp_path):
     """Rates are taken after the last shuffle; players without totals have none, as if the rates themselves were joined."""
     values = [{"game_pk": i, "at_bat_number": 1, "pitch_number": 1, "batter": None if i % 5 == 0 else i % 3, "pitcher": None if i % 7 == 0 else i % 4, "events": "single"} for i in range(40)]
