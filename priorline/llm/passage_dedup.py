@@ -50,29 +50,51 @@ def partners(size: int, loose: bool, percent: int) -> list[int]:
     return [m for m in range(least, _SHINGLES + 1) if common(size, m, percent) <= min(size, m)]
 
 
-def anchors(words: np.ndarray) -> np.ndarray:
-    """First words of the paragraphs of a text; word pairs that repeat each other are never anchors."""
-    if len(words) < max(SPAN, 2 * REACH + 2):
-        return np.zeros(0, np.int64)
-    found = pairs(words)
-    least = np.lib.stride_tricks.sliding_window_view(found, REACH).min(1)
-    at = np.arange(REACH, len(found) - REACH)
-    at = at[(found[at] < least[at - REACH]) & (found[at] <= least[at + 1])]
+def anchors(words: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the paragraphs of texts that follow each other, and the text of each; word pairs that repeat each
+    other are never anchors. ``bounds`` holds the first word of each text and the end; without it there is one text."""
+    bounds = np.array([0, len(words)]) if bounds is None else bounds
+    if len(words) < SPAN:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = least = pairs(words)
+    reached = 1
+    while reached < REACH:
+        step = min(reached, REACH - reached)
+        least = np.minimum(least[:-step], least[step:])
+        reached += step
+    middle = found[REACH : len(found) - REACH]
+    at = np.flatnonzero((middle < least[: len(middle)]) & (middle <= least[REACH + 1 : REACH + 1 + len(middle)])) + REACH
     first = at - SPAN // 2 + 1
-    return first[(first >= 0) & (first + SPAN <= len(words))]
+    first = first[first >= 0]
+    # A paragraph that lies within one text has its anchor's neighbours there, too.
+    text = np.searchsorted(bounds, first, "right") - 1
+    inside = first + SPAN <= bounds[text + 1]
+    return first[inside], text[inside]
+
+
+def repeating(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether the paragraphs repeat a word pair."""
+    double = np.sort(pairs(words)[first[:, None] + np.arange(SPAN - 1)], axis=1)
+    return (double[:, 1:] == double[:, :-1]).any(1)
 
 
 def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words, the shingles of each paragraph, and whether it repeats a word pair."""
-    first = anchors(words)
+    """First words, the shingles of each paragraph of a text, and whether it repeats a word pair."""
+    first, _ = anchors(words)
     if not len(first):
         return first, np.zeros((0, _SHINGLES), np.uint64), np.zeros(0, bool)
-    double = np.sort(pairs(words)[first[:, None] + np.arange(SPAN - 1)], axis=1)
-    return first, windows(words)[first[:, None] + np.arange(_SHINGLES)], (double[:, 1:] == double[:, :-1]).any(1)
+    return first, windows(words)[first[:, None] + np.arange(_SHINGLES)], repeating(words, first)
 
 
-def nodes_of(found: np.ndarray) -> np.ndarray:
-    return mix(found.sum(1, dtype=np.uint64) + mix(np.bitwise_xor.reduce(found, axis=1)))
+def nodes_of(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each paragraph's shingles, whatever their order, from running sums over the words."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    found = windows(words)
+    sums, both = np.zeros(len(found) + 1, np.uint64), np.zeros(len(found) + 1, np.uint64)
+    np.cumsum(found, out=sums[1:])
+    np.bitwise_xor.accumulate(found, out=both[1:])
+    return mix(sums[first + _SHINGLES] - sums[first] + mix(both[first + _SHINGLES] ^ both[first]))
 
 
 def by_size(found: np.ndarray, loose: np.ndarray, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -80,8 +102,9 @@ def by_size(found: np.ndarray, loose: np.ndarray, seed: int) -> Iterator[tuple[n
     hashes = np.sort(mix(found ^ _SEEDS[seed]), axis=1)
     again = np.zeros(hashes.shape, bool)
     again[:, 1:] = hashes[:, 1:] == hashes[:, :-1]
-    order = np.argsort(again, axis=1, kind="stable")
-    hashes, sizes = np.take_along_axis(hashes, order, 1), hashes.shape[1] - again.sum(1)
+    sizes = hashes.shape[1] - np.count_nonzero(again, axis=1)
+    short = np.flatnonzero(sizes < hashes.shape[1])
+    hashes[short] = np.take_along_axis(hashes[short], np.argsort(again[short], axis=1, kind="stable"), 1)
     for kind in (False, True):
         for size in np.unique(sizes[loose == kind]):
             at = np.flatnonzero((sizes == size) & (loose == kind))
@@ -112,11 +135,51 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int64()))
 
 
-def _runs(column: pa.Array) -> Iterator[tuple]:
-    """First and last row, paragraphs per row, and first words, shingles and looseness of all paragraphs, run by run."""
-    for first, last, words, at in word_runs(column):
-        parts = [paragraphs(words[at[k] : at[k + 1]]) for k in range(last - first)]
-        yield first, last, np.array([len(p[0]) for p in parts]), *(np.concatenate(c) for c in zip(*parts))
+def _binary(words: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Runs of 64-bit values, one after the other, as a binary column."""
+    ends = np.concatenate([[0], np.cumsum(counts) * 8]).astype(np.int64)
+    values = pa.py_buffer(np.ascontiguousarray(words, np.uint64))
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(ends), values]).cast(pa.binary())
+
+
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a binary column, and where each row's begin (one more at the end)."""
+    column = column.cast(pa.large_binary())
+    _, offsets, values = column.buffers()
+    if not len(column) or values is None:
+        return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // 8
+    return np.frombuffer(values, np.uint64, values.size // 8), at
+
+
+def _set_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """One row of shingles per set, short sets filled up with their last one, and the sizes."""
+    values, at = _words_of(column)
+    sizes = np.diff(at)
+    return values[at[:-1, None] + np.minimum(np.arange(_SHINGLES), sizes[:, None] - 1)], sizes
+
+
+def similar(x: pa.Array, y: pa.Array, percent: int) -> np.ndarray:
+    """Whether the sets of two columns are similar, row by row."""
+    (one, m), (two, n) = _set_rows(x), _set_rows(y)
+    shared = np.zeros(len(m), np.int64)
+    for k in range(_SHINGLES):
+        shared += (one[:, k : k + 1] == two).any(1) & (k < m)
+    return shared >= common(m, n, percent)
+
+
+def _stretches(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place of all members of stretches of places that begin at ``first``."""
+    rows = np.repeat(np.arange(len(counts)), counts)
+    within = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return rows, first[rows] + within
+
+
+def _placed(column: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Text and first word in the run of all paragraphs in a list column of texts, and its flat list."""
+    text = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+    flat = column.flatten()
+    return text, flat.field("first").to_numpy(zero_copy_only=False) + at[text], flat
 
 
 def _written(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -128,9 +191,11 @@ def _written(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, counts, place, found, _ in _runs(batch.column(2)):
+            for first, last, words, at in word_runs(batch.column(2)):
                 ids, keys = (batch.column(k).slice(first, last - first) for k in (0, 1))
-                columns = [ids, keys, _lists(place, counts), _lists(signed(nodes_of(found)), counts)]
+                place, text = anchors(words, at)
+                counts = np.bincount(text, minlength=last - first)
+                columns = [ids, keys, _lists(place - at[text], counts), _lists(signed(nodes_of(words, place)), counts)]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "doc", "first", "node"])
 
     return keyed.mapInArrow(run, f"id {kind}, doc long, first array<long>, node array<long>")
@@ -141,9 +206,13 @@ def _keyed(docs: DataFrame, text_column: str, percent: int, rows: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *_, found, loose in _runs(batch.column(0)):
-                nodes, once = np.unique(nodes_of(found), return_index=True)
-                own, keys = band_keys(found[once], loose[once], percent, rows)
+            for *_, words, at in word_runs(batch.column(0)):
+                place, _ = anchors(words, at)
+                if not len(place):
+                    continue
+                nodes, once = np.unique(nodes_of(words, place), return_index=True)
+                found = windows(words)[place[once, None] + np.arange(_SHINGLES)]
+                own, keys = band_keys(found, repeating(words, place[once]), percent, rows)
                 columns = [pa.array(signed(keys)), pa.array(signed(nodes[own]))]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "node"])
 
@@ -160,15 +229,14 @@ def _sets(chosen: DataFrame, docs: DataFrame, id_column: str, text_column: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, words, at in word_runs(batch.column(1)):
-                nodes, sets, loose = [], [], []
-                for k, wanted in enumerate(batch.column(0).slice(first, last - first).to_pylist()):
-                    found = windows(words[at[k] : at[k + 1]])
-                    double = pairs(words[at[k] : at[k + 1]])
-                    for one in wanted:
-                        nodes.append(one["node"])
-                        loose.append(len(np.unique(double[one["first"] : one["first"] + SPAN - 1])) < SPAN - 1)
-                        sets.append(np.unique(found[one["first"] : one["first"] + _SHINGLES]).tobytes())
-                columns = [pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(loose, pa.bool_())]
+                _, place, wanted = _placed(batch.column(0).slice(first, last - first), at)
+                if not len(place):
+                    continue
+                found = np.sort(windows(words)[place[:, None] + np.arange(_SHINGLES)], axis=1)
+                new = np.ones(found.shape, bool)
+                new[:, 1:] = found[:, 1:] != found[:, :-1]
+                sets = _binary(found[new], np.count_nonzero(new, axis=1))
+                columns = [wanted.field("node"), sets, pa.array(repeating(words, place))]
                 yield pa.RecordBatch.from_arrays(columns, ["node", "found", "loose"])
 
     return texts.mapInArrow(run, "node long, found binary, loose boolean").dropDuplicates(["node"])
@@ -201,18 +269,20 @@ def _subset_links(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             for first in range(0, len(batch), _ROWS_AT_ONCE):
                 part = batch.slice(first, _ROWS_AT_ONCE)
-                nodes, loose = np.array(part.column("node").to_pylist(), np.int64), np.array(part.column("loose").to_pylist(), bool)
-                found = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("found")]
-                found = np.array([np.pad(x, (0, _SHINGLES - len(x)), "edge") for x in found])
+                nodes, loose = (part.column(c).to_numpy(zero_copy_only=False) for c in ("node", "loose"))
+                found, _ = _set_rows(part.column("found"))
                 for at, key, size, level in _gathered(subset_keys(found, loose, percent)):
-                    columns = [pa.array(signed(key)), pa.array(nodes[at]), pa.array(size), pa.array(level)]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "node", "size", "level"])
+                    columns = [pa.array(signed(key)), pa.array(nodes[at]), pa.array(size * 32 + level)]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "node", "shape"])
 
-    keyed = sets.select("node", "found", "loose").mapInArrow(run, "key long, node long, size int, level int")
-    met = keyed.groupBy("key").agg(F.min(F.struct("size", "node")).alias("least"), F.min("node").alias("low"), F.max("node").alias("high"))
+    # Spread once: the groups and their join read all columns, so they share the exchange and the keys are made once.
+    keyed = sets.select("node", "found", "loose").mapInArrow(run, "key long, node long, shape int")
+    keyed = keyed.filter("key is not null").repartition("key")
+    met = keyed.groupBy("key").agg(F.min(F.struct("shape", "node")).alias("least"), F.min("node").alias("low"), F.max("node").alias("high"))
     met = met.filter("low < high").select("key", "least")
-    near = (100 + percent) * F.col("level") >= percent * (F.col("size") + F.col("least.size"))
-    links = keyed.join(met, "key").filter((F.col("node") != F.col("least.node")) & near)
+    size = lambda shape: F.shiftright(shape, 5)
+    near = (100 + percent) * F.col("shape").bitwiseAND(31) >= percent * (size("shape") + size("least.shape"))
+    links = keyed.join(met.hint("shuffle_hash"), "key").filter((F.col("node") != F.col("least.node")) & near)
     return links.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
@@ -244,45 +314,51 @@ def _around(found: DataFrame, docs: DataFrame, id_column: str, text_column: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high, words, at in word_runs(batch.column("text")):
-                rows, cells = [], []
-                for k, placed in enumerate(batch.column("placed").slice(low, high - low).to_pylist()):
-                    own = words[at[k] : at[k + 1]]
-                    starts = anchors(own)
-                    for one in placed:
-                        first, middle = one["first"], one["first"] + SPAN // 2
-                        turn = int(np.searchsorted(starts, first))
-                        back = int(starts[turn - 1]) if turn else 0
-                        ahead = int(starts[turn + 1]) + SPAN if turn + 1 < len(starts) else len(own)
-                        rows.append(low + k)
-                        cells.append((first, one["label"], one["kept"], own[back:middle][::-1].tobytes(), own[middle:ahead].tobytes()))
-                columns = list(zip(*cells)) if cells else [()] * 5
-                take = pa.array(rows, pa.int64())
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                text, first, placed = _placed(batch.column("placed").slice(low, high - low), at)
+                if not len(first):
+                    continue
+                starts, owner = anchors(words, at)
+                middle, turn = first + SPAN // 2, np.searchsorted(starts, first)
+                # The paragraphs before and after it; the ends of the text where there are none.
+                near = lambda k: (k >= 0) & (k < len(starts)) & (owner[np.clip(k, 0, len(starts) - 1)] == text)
+                back = np.where(near(turn - 1), starts[np.maximum(turn - 1, 0)], at[text])
+                ahead = np.where(near(turn + 1), starts[np.minimum(turn + 1, len(starts) - 1)] + SPAN, at[text + 1])
+                _, later = _stretches(middle, ahead - middle)
+                rows, earlier = _stretches(np.zeros(len(middle), np.int64), middle - back)
+                before = _binary(words[middle[rows] - 1 - earlier], middle - back)
+                take = pa.array(low + text)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").take(take), batch.column("id").take(take), *[pa.array(c, t) for c, t in zip(columns, kinds)]],
+                    [
+                        batch.column("doc").take(take), batch.column("id").take(take), *[placed.field(c) for c in ("first", "label", "kept")],
+                        before, _binary(words[later], ahead - middle),
+                    ],
                     ["doc", "id", "first", "label", "kept", "before", "after"],
-                )
+                )
 
     shape = f"doc long, id {shape}, first long, label long, kept long, before binary, after binary"
     return texts.mapInArrow(run, shape)
 
 
-def _alike(x: bytes, y: bytes) -> int:
-    """How far two runs of words agree beyond half a paragraph; below 0 if the half itself ends in differing words."""
-    m, n = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    size, half = min(len(m), len(n)), SPAN // 2
-    same = m[:size] == n[:size]
-    if not same[half - 1]:
-        inside = np.flatnonzero(same[:half])
-        return (int(inside[-1]) + 1 if len(inside) else 0) - half
-    beyond = np.flatnonzero(~same[half:])
-    return int(beyond[0]) if len(beyond) else size - half
+def _alike(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """How far two runs of words agree beyond half a paragraph, row by row; below 0 if the half itself ends in differing words."""
+    (one, m), (two, n) = _words_of(x), _words_of(y)
+    size, half = np.minimum(np.diff(m), np.diff(n)), SPAN // 2
+    rows, left = _stretches(m[:-1], size)
+    place = left - m[rows]
+    same = one[left] == two[n[rows] + place]
+    found = size - half
+    differing, at = np.unique(rows[(place >= half) & ~same], return_index=True)
+    found[differing] = place[(place >= half) & ~same][at] - half
+    first = np.cumsum(size) - size
+    inside = same[first[:, None] + np.arange(half - 1, -1, -1)]
+    return np.where(inside[:, 0], found, np.where(inside.any(1), -inside.argmax(1), -half))
 
 
-def reach(before: bytes, left: bytes, after: bytes, right: bytes) -> tuple[int, int]:
+def reach(before: pa.Array, left: pa.Array, after: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Words to add on either side (to take off, below 0). Paragraphs around different anchors stay as they are."""
     back, ahead = _alike(before, left), _alike(after, right)
-    return (back, ahead) if min(back, 0) + min(ahead, 0) >= -SPAN // 2 else (0, 0)
+    near = np.minimum(back, 0) + np.minimum(ahead, 0) >= -SPAN // 2
+    return np.where(near, back, 0), np.where(near, ahead, 0)
 
 
 def _extended(found: DataFrame, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -296,12 +372,11 @@ def _extended(found: DataFrame, docs: DataFrame, id_column: str, text_column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("before", "left", "after", "right")}
-            found = [reach(*one) for one in zip(c["before"], c["left"], c["after"], c["right"])]
+            if not len(batch):
+                continue
+            back, ahead = reach(*(batch.column(n) for n in ("before", "left", "after", "right")))
             kept = batch.select(["doc", "first", "turn"])
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["doc", "first", "turn", "back", "ahead"]
-            )
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(back), pa.array(ahead)], ["doc", "first", "turn", "back", "ahead"])
 
     met = met.select("doc", "first", "turn", "before", "after", "left", "right")
     shared = stored(met.mapInArrow(run, "doc long, first long, turn long, back long, ahead long"), "passage-shared")
@@ -383,22 +458,21 @@ def repeated_passages(
     # Spread once; the groups and their join with the members read the same exchange.
     each = _keyed(docs, text_column, percent, rows).filter("key is not null").repartition("key")
     groups = each.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead < last")
-    members = stored(each.join(groups, "key").select("key", "node", "lead", "last").distinct(), "passage-members")
+    # The side with one row a key fits into memory, a partition at a time; the other one, most of which meets nothing, needs no sort.
+    members = stored(each.join(groups.hint("shuffle_hash"), "key").select("key", "node", "lead", "last").distinct(), "passage-members")
 
     ends = F.explode(F.array("lead", "last"))
     pair = members.select(ends.alias("a"), F.col("node").alias("b")).filter("a != b")
     pair = stored(pair.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "passage-pairs")
     involved = members.select("node").distinct()
-    chosen = occurring.join(involved, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "first")).alias("c"))
-    sets = stored(_sets(chosen.select("node", "c.doc", "c.first"), docs, id_column, text_column), "passage-sets")
+    # Any place will do, as a node stands for the same shingles everywhere.
+    chosen = occurring.join(involved.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
+    sets = stored(_sets(chosen, docs, id_column, text_column), "passage-sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                m, n = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                keep.append(len(np.intersect1d(m, n, assume_unique=True)) >= common(len(m), len(n), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if len(batch):
+                yield batch.select(["a", "b"]).filter(pa.array(similar(batch.column("x"), batch.column("y"), percent)))
 
     one = sets.select(F.col("node").alias("a"), F.col("found").alias("x"))
     two = sets.select(F.col("node").alias("b"), F.col("found").alias("y"))
@@ -408,10 +482,10 @@ def repeated_passages(
     labels = stored(components(links), "passage-labels")
 
     # Groups that hold several components beside their first and last, which have been compared with all others.
-    inner = members.filter("node != lead and node != last").select("key", "node").join(labels, "node", "left")
+    inner = members.filter("node != lead and node != last").select("key", "node").join(labels.hint("shuffle_hash"), "node", "left")
     inner = inner.withColumn("label", F.coalesce("label", "node"))
     mixed = inner.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rest = stored(inner.join(mixed.select("key"), "key", "left_semi").select("node").distinct(), "passage-mixed")
+    rest = stored(inner.join(mixed.select("key").hint("shuffle_hash"), "key", "left_semi").select("node").distinct(), "passage-mixed")
     forget(members)
     more = stored(_subset_links(sets.join(rest, "node", "left_semi"), percent), "passage-links")
     forget(sets, rest, labels)
@@ -421,8 +495,8 @@ def repeated_passages(
     ids = written.select("id", "doc").dropDuplicates(["doc"])
     repeated = occurring.groupBy("node").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
     involved = repeated.select("node").union(labels.select("node")).distinct()
-    placed = occurring.join(involved, "node").join(labels, "node", "left")
-    placed = placed.withColumn("label", F.coalesce("label", "node")).join(ids, "doc")
+    placed = occurring.join(involved.hint("shuffle_hash"), "node").join(labels.hint("shuffle_hash"), "node", "left")
+    placed = placed.withColumn("label", F.coalesce("label", "node")).join(ids.hint("shuffle_hash"), "doc")
     placed = stored(placed.select("id", "doc", "first", "label"), "passage-placed")
     forget(written, labels)
     owner = F.struct(F.col("id").isNull().alias("none"), "id", "doc")

@@ -214,6 +214,51 @@ def test_similar_paragraphs_always_share_a_key():
     assert links > 500 and uneven > 20
 
 
+def test_texts_of_a_run_are_handled_together(monkeypatch):
+    random.seed(17)
+    texts = ["", None, "one two", *[" ".join(random.choice(("a", f"w{random.randrange(300)}")) for _ in range(n % 97)) for n in range(400)]]
+    column = passage_dedup.pa.array(texts)
+    calls = []
+    of_pairs = passage_dedup.pairs
+    monkeypatch.setattr(passage_dedup, "pairs", lambda words: calls.append(1) or of_pairs(words))
+    (_, _, words, at), = passage_dedup.word_runs(column)
+    first, text = passage_dedup.anchors(words, at)
+    nodes = passage_dedup.nodes_of(words, first)
+    assert len(calls) == 1
+    for k in range(len(texts)):
+        alone, found, _ = passage_dedup.paragraphs(words[at[k] : at[k + 1]])
+        own = text == k
+        assert (first[own] - at[k]).tolist() == alone.tolist()
+        mixed = passage_dedup.mix(found.sum(1, dtype=np.uint64) + passage_dedup.mix(np.bitwise_xor.reduce(found, axis=1)))
+        assert nodes[own].tolist() == mixed.tolist()
+    assert len(set(text.tolist())) > 100
+
+
+def test_sets_and_surroundings_are_compared_as_by_hand():
+    rng = np.random.default_rng(5)
+    binary = lambda rows: passage_dedup.pa.array([np.array(r, np.uint64).tobytes() for r in rows], "binary")
+    sets = [sorted(rng.choice(18, rng.integers(1, 17), replace=False).tolist()) for _ in range(2000)]
+    x, y = sets[::2], sets[1::2]
+    want = [100 * len({*a} & {*b}) >= 75 * len({*a} | {*b}) for a, b in zip(x, y)]
+    assert passage_dedup.similar(binary(x).slice(3), binary(y).slice(3), 75).tolist() == want[3:]
+    assert 10 < sum(want) < 990
+    words = lambda: rng.integers(0, 2, rng.integers(10, 14)).tolist()
+    rows = [[words() for _ in range(4)] for _ in range(1000)]
+    rows = [[a, list(a) if k % 3 else b, c, list(c) if k % 5 else d] for k, (a, b, c, d) in enumerate(rows)]
+
+    def alike(m, n):
+        size = min(len(m), len(n))
+        same = [m[k] == n[k] for k in range(size)]
+        if not same[9]:
+            return max((k + 1 for k in range(10) if same[k]), default=0) - 10
+        return next((k - 10 for k in range(10, size) if not same[k]), size - 10)
+
+    got = passage_dedup.reach(*(binary(c) for c in zip(*rows)))
+    for (a, b, c, d), *found in zip(rows, *(g.tolist() for g in got)):
+        both = [alike(a, b), alike(c, d)]
+        assert found == (both if min(both[0], 0) + min(both[1], 0) >= -10 else [0, 0])
+
+
 def test_near_copies_in_one_crowded_group_are_all_linked(spark):
     random.seed(9)
     word = lambda: f"q{random.randrange(10**9)}"
